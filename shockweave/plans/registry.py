@@ -8,7 +8,6 @@ values off the decimal grid, where summation order could flip the last digit.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -634,8 +633,7 @@ def _top(spark, sf_dir, side: str) -> DataFrame:
 
 @query
 def links_weakened(spark, sf_dir):
-    top = _top(spark, sf_dir, "weakened")
-    return _coefficient_links(top).withColumnsRenamed({}) if False else top.select(
+    return _top(spark, sf_dir, "weakened").select(
         "rank", *LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")]
     )
 
@@ -817,7 +815,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _run(spark, sf_dir, gamma=GAMMA, max_iter=2, tol=1e-4, inner_rounds=6)
     tables = suite.impact_tables(result, country_dim=fx.country_dimension(spark, sf_dir))
     return tables["country"]
-
-
-def entry_for(name: str) -> Query:
-    return partial(QUERIES[name])

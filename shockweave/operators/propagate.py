@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import floor_zero, ratio, zero_if_null
+from shockweave.storage import cut
 
 NOISE = 1e-9
 # Producers of one sector are copied this many times when pairs are written
@@ -100,15 +101,34 @@ def edge_flows(edges: DataFrame, factored: DataFrame, noise: float = NOISE) -> D
     )
 
 
-def sales_by_producer(flows: DataFrame) -> DataFrame:
-    return flows.groupBy("scenario_id", F.col("i").alias("node")).agg(F.sum("base").alias("base_row"))
+def edge_sums(flows: DataFrame) -> DataFrame:
+    """Sums of edge flows per producer (``globsec`` NULL) and per (sector, user).
 
-
-def inputs_by_sector(flows: DataFrame) -> DataFrame:
-    """Per sector and user: base flow, unmet need, and the fixed technology ``ag``."""
-    return flows.groupBy("scenario_id", "globsec", F.col("j").alias("node")).agg(
-        F.sum("base").alias("base"), F.sum("unmet").alias("unmet"), F.sum("t").alias("ag")
+    Columns ``base, unmet, ag`` hold base flow, unmet need and the fixed
+    technology. Every edge contributes to both sums, so one pass over edges
+    and scenarios, with partial sums before the shuffle, serves both.
+    """
+    nowhere = F.lit(None).cast("int")
+    zero = F.lit(0.0)
+    parts = F.array(
+        F.struct(nowhere.alias("globsec"), F.col("i").alias("node"), F.col("base"), zero.alias("unmet"), zero.alias("t")),
+        F.struct(F.col("globsec"), F.col("j").alias("node"), F.col("base"), F.col("unmet"), F.col("t")),
     )
+    return (
+        flows.select("scenario_id", F.explode(parts).alias("p"))
+        .groupBy("scenario_id", "p.globsec", "p.node")
+        .agg(F.sum("p.base").alias("base"), F.sum("p.unmet").alias("unmet"), F.sum("p.t").alias("ag"))
+    )
+
+
+def sales_by_producer(sums: DataFrame) -> DataFrame:
+    """``(scenario_id, node, base_row)``: base sales over all users."""
+    return sums.filter(F.col("globsec").isNull()).select("scenario_id", "node", F.col("base").alias("base_row"))
+
+
+def inputs_by_sector(sums: DataFrame) -> DataFrame:
+    """``(scenario_id, globsec, node, base, unmet, ag)`` per sector and user."""
+    return sums.filter(F.col("globsec").isNotNull())
 
 
 def sector_balance(factored: DataFrame, inputs: DataFrame, gamma: float) -> DataFrame:
@@ -184,15 +204,19 @@ def factored_state(edges: DataFrame, state: DataFrame, noise: float = NOISE) ->
 
 
 def step(edges: DataFrame, state: DataFrame, gamma: float, noise: float = NOISE) -> DataFrame:
-    """State after one step, one row per (scenario_id, node)."""
+    """State after one step, one row per (scenario_id, node).
+
+    The two joins of edges with scenarios are jobs of their own; what follows
+    works on their sums, a row per node or per (sector, user).
+    """
     if not 0.0 <= gamma <= 1.0:
         raise ValueError(f"gamma must be in [0, 1], not {gamma}")
-    factored = factored_state(edges, state, noise)
-    flows = edge_flows(edges, factored, noise)
-    inputs = inputs_by_sector(flows)
+    factored = cut(factored_state(edges, state, noise))
+    sums = cut(edge_sums(edge_flows(edges, factored, noise)))
+    inputs = inputs_by_sector(sums)
     balance = sector_balance(factored, inputs, gamma)
     return with_feasible_output(
-        with_reallocation(factored, sales_by_producer(flows), balance),
+        with_reallocation(factored, sales_by_producer(sums), balance),
         global_feasibility(sector_supply(inputs, balance)),
     )
 
@@ -247,7 +271,8 @@ def reallocated_edges(edges: DataFrame, stepped: DataFrame, gamma: float, noise:
     """
     flows = edge_flows(edges, stepped, noise)
     balance = stepped.select("scenario_id", "globsec", "frac").distinct()
-    added = reallocated_pairs(stepped, sector_supply(inputs_by_sector(flows), balance))
+    inputs = inputs_by_sector(edge_sums(flows))
+    added = reallocated_pairs(stepped, sector_supply(inputs, balance))
     return (
         flows.select("scenario_id", "i", "j", F.col("z").alias("z0"), F.col("base").alias("z1"))
         .unionByName(added.select("scenario_id", "i", "j", F.lit(0.0).alias("z0"), F.col("added").alias("z1")))

@@ -6,38 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import zero_if_null
-from shockweave.storage import cut
+from shockweave.storage import broadcast_if_small, cut
 
 CHUNK = 6
 
 
-def one_round(edges: DataFrame, start: DataFrame, current: DataFrame) -> DataFrame:
-    """``start + A current`` for ``(scenario_id, node, v)`` tables.
+def one_round(edges: DataFrame, start: DataFrame, current: DataFrame, rows: int) -> DataFrame:
+    """``start + A current`` for ``(scenario_id, node, v)`` tables of at most ``rows`` rows.
 
     The constant part and the edge contributions go into one aggregation, so a
-    round costs a single shuffle of partial sums.
+    round costs a single shuffle of partial sums. Where the vector is small by
+    its counted rows the edges stay in place.
     """
-    pulled = edges.select("i", "j", "a").join(current.withColumnRenamed("node", "j"), "j").select(
+    vector = broadcast_if_small(current.withColumnRenamed("node", "j"), rows)
+    pulled = edges.select("i", "j", "a").join(vector, "j").select(
         "scenario_id", F.col("i").alias("node"), (F.col("a") * F.col("v")).alias("v")
     )
     return start.unionByName(pulled).groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
 
 
-def rounds(edges: DataFrame, start: DataFrame, steps: int, every: int = CHUNK) -> DataFrame:
-    """``sum of A^k start`` for k = 0..steps, written out every few rounds."""
-    current = start
+def rounds(edges: DataFrame, start: DataFrame, steps: int, rows: int, current: DataFrame | None = None) -> DataFrame:
+    """``sum of A^k start`` for k = 0..steps, written out every few rounds.
+
+    ``current`` continues from an earlier sum instead of from ``start``.
+    """
+    current = start if current is None else current
     for k in range(1, steps + 1):
-        current = one_round(edges, start, current)
-        if k % every == 0 and k < steps:
+        current = one_round(edges, start, current, rows)
+        if k % CHUNK == 0 and k < steps:
             current = cut(current)
     return current
 
 
-def residual(edges: DataFrame, state: DataFrame) -> DataFrame:
+def residual(edges: DataFrame, state: DataFrame, rows: int) -> DataFrame:
     """``fd + A x - x`` for the guess ``x`` held in column ``xdem`` of ``state``."""
     guess = state.select("scenario_id", "node", F.col("xdem").alias("v"))
     gap = state.select("scenario_id", "node", (F.col("fd") - F.col("xdem")).alias("v"))
-    return one_round(edges, gap, guess)
+    return one_round(edges, gap, guess, rows)
 
 
 def _change(new: DataFrame, old: DataFrame, scale: float) -> float:
@@ -53,6 +58,7 @@ def solve(
     start: DataFrame,
     scale: float,
     tol: float,
+    rows: int,
     maybe_done: bool = False,
     max_rounds: int = 600,
 ) -> DataFrame:
@@ -67,19 +73,13 @@ def solve(
         return start
     current = start
     for _ in range(0, max_rounds, CHUNK):
-        following = cut(rounds(edges, start, CHUNK) if current is start else _more(edges, start, current))
+        following = cut(rounds(edges, start, CHUNK, rows, current))
         if _change(following, current, scale) < tol:
             return following
         current = following
     raise RuntimeError(f"required output did not settle within {max_rounds} rounds; check the coefficients")
 
 
-def _more(edges: DataFrame, start: DataFrame, current: DataFrame) -> DataFrame:
-    for _ in range(CHUNK):
-        current = one_round(edges, start, current)
-    return current
-
-
 def add_to_guess(state: DataFrame, correction: DataFrame) -> DataFrame:
     """State with the correction added to ``xdem``."""
     fix = correction.select("scenario_id", "node", F.col("v").alias("_fix"))

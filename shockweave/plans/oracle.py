@@ -471,12 +471,12 @@ def _finals() -> dict[str, str]:
               WHEN 'T1' THEN CASE WHEN n.country = 'NATION_3' THEN 0.05 ELSE 0.0 END
               WHEN 'T2' THEN CASE WHEN n.sector = 'P_LARGE' THEN 0.025 ELSE 0.0 END
               WHEN 'T3' THEN CASE WHEN n.country = 'NATION_9' AND n.sector = 'P_MEDIUM' THEN 0.01 ELSE 0.0 END
-              WHEN 'T4' THEN CASE WHEN n.country = 'NATION_5' THEN 1.0 ELSE 0.0 END ELSE 0.0 END''', 8, 'sd')},
+              WHEN 'T4' THEN CASE WHEN n.country = 'NATION_5' THEN 1.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE''', 8, 'sd')},
             {rate('''CASE t.scenario_id
               WHEN 'T0' THEN 0.1
               WHEN 'T1' THEN CASE WHEN n.country = 'NATION_3' AND n.sector IN ('P_SMALL', 'P_PROMO') THEN 0.1 ELSE 0.0 END
               WHEN 'T2' THEN CASE WHEN n.country = 'NATION_3' AND n.sector = 'P_LARGE' THEN 0.125 ELSE 0.0 END
-              WHEN 'T3' THEN CASE WHEN n.country IN ('NATION_1', 'NATION_2') THEN 0.3 ELSE 0.0 END ELSE 0.0 END''', 8, 'sp')}
+              WHEN 'T3' THEN CASE WHEN n.country IN ('NATION_1', 'NATION_2') THEN 0.3 ELSE 0.0 END ELSE 0.0 END::DOUBLE''', 8, 'sp')}
         FROM ids n CROSS JOIN (VALUES ('T0'), ('T1'), ('T2'), ('T3'), ('T4')) AS t(scenario_id)"""
     q["flat_shocks"] = f"""SELECT g.scenario_id, n.label, CAST(0.0 AS DOUBLE) AS sd,
         {rate('CASE WHEN n.country = g.ISO2 THEN g.scalar ELSE 0.0 END', 10, 'sp')}

@@ -409,14 +409,14 @@ def flow_balance(spark, sf_dir):
 @query
 def substitution(spark, sf_dir):
     _, factored, on_edges = _edge_flows(spark, sf_dir)
-    balance = propagate.sector_balance(factored, propagate.inputs_by_sector(on_edges), GAMMA)
+    balance = propagate.sector_balance(factored, propagate.inputs_by_sector(propagate.edge_sums(on_edges)), GAMMA)
     return balance.select("scenario_id", "globsec", money("inv_total"), money("unmet_total"), rate("sub"), rate("frac"))
 
 
 @query
 def sector_deliveries(spark, sf_dir):
     _, factored, on_edges = _edge_flows(spark, sf_dir)
-    inputs = cut(propagate.inputs_by_sector(on_edges))
+    inputs = propagate.inputs_by_sector(cut(propagate.edge_sums(on_edges)))
     supply = propagate.sector_supply(inputs, propagate.sector_balance(factored, inputs, GAMMA))
     return supply.select("scenario_id", "globsec", "node", rate("ag"), money("delivered"), money("zg"))
 
@@ -458,7 +458,7 @@ def demand_output_k30(spark, sf_dir):
     net = _network(spark, sf_dir)
     vectors = shocks.targeted_shocks(fx.scenarios(spark), net.nodes)
     start = cut(propagate.initial_state(net.nodes, vectors).select("scenario_id", "node", F.col("fd").alias("v")))
-    settled = required.rounds(net.edges, start, 30)
+    settled = required.rounds(net.edges, start, 30, rows=start.count())
     return _named(settled, net, "node").select("scenario_id", "label", money("v").alias("xdem"))
 
 

@@ -73,15 +73,16 @@ def run(
     scale = (network.nodes.agg(F.sum(F.abs("x"))).first()[0] or 0.0) or 1.0
 
     state = cut(propagate.initial_state(network.nodes, shocks).withColumn("xdem", F.col("x0")))
-    change = cut(required.residual(edges, state))
+    rows = state.count()
+    change = cut(required.residual(edges, state, rows))
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
     seen: list[DataFrame] = []
     for iteration in range(1, max_iter + 1):
         if inner_rounds is None:
-            correction = required.solve(edges, change, scale, inner_tol, maybe_done=iteration == 1)
+            correction = required.solve(edges, change, scale, inner_tol, rows, maybe_done=iteration == 1)
         else:
-            correction = cut(required.rounds(edges, change, inner_rounds))
+            correction = cut(required.rounds(edges, change, inner_rounds, rows))
         stepped = cut(propagate.step(edges, cut(required.add_to_guess(state, correction)), gamma, noise))
         gap = cut(demand_gap(stepped).withColumn("iteration", F.lit(iteration)))
         gaps.append(gap)

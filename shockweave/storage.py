@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -37,3 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/shockweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes the session allows on the broadcast side of a join; 0 if it is switched off."""
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    digits = text.rstrip("bkmgti")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[len(digits):][:1], 1)
+    return max(0, int(float(digits) * unit))
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """``df`` marked for broadcast if ``rows`` counted rows stay within the session's limit.
+
+    For derived tables whose row number is known although Spark's estimate is
+    not. Larger ones stay unmarked and are shuffled, where AQE splits skew.
+    """
+    return F.broadcast(df) if rows * row_bytes <= broadcast_limit(df.sparkSession) else df

@@ -6,43 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import zero_if_null
-from shockweave.storage import broadcast_if_small, cut
+from shockweave.storage import broadcast_limit, settle
 
 CHUNK = 6
+VECTOR_ROW_BYTES = 32
+WORTH_KEEPING = 1_000_000
 
 
-def one_round(edges: DataFrame, start: DataFrame, current: DataFrame, rows: int) -> DataFrame:
-    """``start + A current`` for ``(scenario_id, node, v)`` tables of at most ``rows`` rows.
+def keeps_edges(edges: DataFrame, vector_rows: int, pulled_rows: int) -> bool:
+    """Whether rounds should broadcast the vector and leave the edges in place.
 
-    The constant part and the edge contributions go into one aggregation, so a
-    round costs a single shuffle of partial sums. Where the vector is small by
-    its counted rows the edges stay in place.
+    ``vector_rows`` are counted and must fit the session's broadcast limit.
+    It pays once a round yields many edge contributions: edges in place keep
+    their (i, j) blocks, whose partial sums are few. Otherwise both sides are
+    shuffled, where AQE splits skewed users.
     """
-    vector = broadcast_if_small(current.withColumnRenamed("node", "j"), rows)
+    fits = vector_rows * VECTOR_ROW_BYTES <= broadcast_limit(edges.sparkSession)
+    return fits and pulled_rows >= WORTH_KEEPING
+
+
+def one_round(edges: DataFrame, start: DataFrame, current: DataFrame, in_place: bool = False) -> DataFrame:
+    """``start + A current`` for ``(scenario_id, node, v)`` tables.
+
+    The constant part and the edge contributions go into one aggregation of
+    partial sums. ``in_place`` is the answer of ``keeps_edges``.
+    """
+    vector = current.withColumnRenamed("node", "j")
+    if in_place:
+        vector = F.broadcast(vector)
     pulled = edges.select("i", "j", "a").join(vector, "j").select(
         "scenario_id", F.col("i").alias("node"), (F.col("a") * F.col("v")).alias("v")
     )
     return start.unionByName(pulled).groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
 
 
-def rounds(edges: DataFrame, start: DataFrame, steps: int, rows: int, current: DataFrame | None = None) -> DataFrame:
-    """``sum of A^k start`` for k = 0..steps, written out every few rounds.
+def rounds(
+    edges: DataFrame, start: DataFrame, steps: int, in_place: bool = False, current: DataFrame | None = None
+) -> DataFrame:
+    """``sum of A^k start`` for k = 0..steps, lineage cut every few rounds.
 
     ``current`` continues from an earlier sum instead of from ``start``.
     """
     current = start if current is None else current
     for k in range(1, steps + 1):
-        current = one_round(edges, start, current, rows)
+        current = one_round(edges, start, current, in_place)
         if k % CHUNK == 0 and k < steps:
-            current = cut(current)
+            current = settle(current)
     return current
 
 
-def residual(edges: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+def residual(edges: DataFrame, state: DataFrame, in_place: bool = False) -> DataFrame:
     """``fd + A x - x`` for the guess ``x`` held in column ``xdem`` of ``state``."""
     guess = state.select("scenario_id", "node", F.col("xdem").alias("v"))
     gap = state.select("scenario_id", "node", (F.col("fd") - F.col("xdem")).alias("v"))
-    return one_round(edges, gap, guess, rows)
+    return one_round(edges, gap, guess, in_place)
 
 
 def _change(new: DataFrame, old: DataFrame, scale: float) -> float:
@@ -58,7 +75,7 @@ def solve(
     start: DataFrame,
     scale: float,
     tol: float,
-    rows: int,
+    in_place: bool = False,
     maybe_done: bool = False,
     max_rounds: int = 600,
 ) -> DataFrame:
@@ -73,7 +90,7 @@ def solve(
         return start
     current = start
     for _ in range(0, max_rounds, CHUNK):
-        following = cut(rounds(edges, start, CHUNK, rows, current))
+        following = settle(rounds(edges, start, CHUNK, in_place, current))
         if _change(following, current, scale) < tol:
             return following
         current = following

@@ -30,7 +30,7 @@ from shockweave.plans import fixtures as fx
 from shockweave.plans import stress, suite
 from shockweave.sources import cube, dims, flows, sinks
 from shockweave.sources.losses import HAZARDS
-from shockweave.storage import cut, shared_folder
+from shockweave.storage import cut, settle, shared_folder
 
 DISPLAY_RATE = 1.95583
 GAMMA = 0.5
@@ -457,8 +457,8 @@ def step_totals(spark, sf_dir):
 def demand_output_k30(spark, sf_dir):
     net = _network(spark, sf_dir)
     vectors = shocks.targeted_shocks(fx.scenarios(spark), net.nodes)
-    start = cut(propagate.initial_state(net.nodes, vectors).select("scenario_id", "node", F.col("fd").alias("v")))
-    settled = required.rounds(net.edges, start, 30, rows=start.count())
+    start = settle(propagate.initial_state(net.nodes, vectors).select("scenario_id", "node", F.col("fd").alias("v")))
+    settled = required.rounds(net.edges, start, 30)
     return _named(settled, net, "node").select("scenario_id", "label", money("v").alias("xdem"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shockweave.operators import propagate, required
 from shockweave.operators.network import Network
-from shockweave.storage import cut
+from shockweave.storage import cut, settle
 
 
 @dataclass(frozen=True)
@@ -68,23 +68,27 @@ def run(
     iteration.
     """
     check_controls(gamma, max_iter, tol)
-    inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
-    edges = network.edges
-    scale = (network.nodes.agg(F.sum(F.abs("x"))).first()[0] or 0.0) or 1.0
+    inner_tol = inner_tol if inner_tol is not None else 1e-2 * tol
+    # Re-read every round; a lost executor's part is read again from the table.
+    edges = network.edges.persist()
+    sizes = network.nodes.agg(F.count("*"), F.sum(F.abs("x"))).first()
+    node_rows, scale = max(1, sizes[0]), sizes[1] or 1.0
 
     state = cut(propagate.initial_state(network.nodes, shocks).withColumn("xdem", F.col("x0")))
     rows = state.count()
-    change = cut(required.residual(edges, state, rows))
+    active = rows // node_rows
+    in_place = required.keeps_edges(edges, rows, edges.count() * active)
+    change = settle(required.residual(edges, state, in_place))
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
     seen: list[DataFrame] = []
     for iteration in range(1, max_iter + 1):
         if inner_rounds is None:
-            correction = required.solve(edges, change, scale, inner_tol, rows, maybe_done=iteration == 1)
+            correction = required.solve(edges, change, scale, inner_tol, in_place, maybe_done=iteration == 1)
         else:
-            correction = cut(required.rounds(edges, change, inner_rounds, rows))
-        stepped = cut(propagate.step(edges, cut(required.add_to_guess(state, correction)), gamma, noise))
-        gap = cut(demand_gap(stepped).withColumn("iteration", F.lit(iteration)))
+            correction = settle(required.rounds(edges, change, inner_rounds, in_place))
+        stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma, noise))
+        gap = demand_gap(stepped).withColumn("iteration", F.lit(iteration))
         gaps.append(gap)
         if return_history:
             seen.append(
@@ -93,24 +97,30 @@ def run(
                 )
             )
         settled = F.col("gap") < tol
-        last = iteration == max_iter
-        leaving = gap if last else gap.filter(settled)
-        finished.append(
-            stepped.join(
-                leaving.select(
-                    "scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged")
-                ),
-                "scenario_id",
+        unsettled = gap.filter(~settled).select("scenario_id")
+        still_active = unsettled.count()
+        last = iteration == max_iter or still_active == 0
+        if last or still_active < active:
+            leaving = gap if last else gap.filter(settled)
+            finished.append(
+                stepped.join(
+                    leaving.select(
+                        "scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged")
+                    ),
+                    "scenario_id",
+                )
             )
-        )
-        if last or gap.filter(~settled).isEmpty():
+        if last:
             break
-        active = stepped.join(gap.filter(~settled).select("scenario_id"), "scenario_id", "left_semi")
-        change = active.select("scenario_id", "node", (F.col("fd_next") - F.col("fd")).alias("v"))
-        state = active.select(
+        if still_active < active:
+            stepped = stepped.join(unsettled, "scenario_id", "left_semi")
+            active = still_active
+        change = stepped.select("scenario_id", "node", (F.col("fd_next") - F.col("fd")).alias("v"))
+        state = stepped.select(
             "scenario_id", "node", "globsec", "x0", "fd0", "z_row", "sd", "sp", "cap",
             F.col("fd_next").alias("fd"), "xdem",
         )
+    edges.unpersist()
 
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return StressResult(

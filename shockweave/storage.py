@@ -48,10 +48,13 @@ def broadcast_limit(spark: SparkSession) -> int:
     return max(0, int(float(digits) * unit))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
-    """``df`` marked for broadcast if ``rows`` counted rows stay within the session's limit.
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    For derived tables whose row number is known although Spark's estimate is
-    not. Larger ones stay unmarked and are shuffled, where AQE splits skew.
+    Cheaper than ``cut`` for loop state that the next few jobs read whole, and
+    as safe, but without the exact statistics of a written table.
     """
-    return F.broadcast(df) if rows * row_bytes <= broadcast_limit(df.sparkSession) else df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

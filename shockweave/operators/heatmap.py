@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shockweave.functions.labels import label_country, label_sector, resolve_pair
 from shockweave.functions.numeric import lenient_double, zero_if_null
 from shockweave.operators.quantiles import nearest_quantiles
+from shockweave.storage import cut
 
 # Column pairs that may hold the two ends of a link.
 LINK_ENDS = (("i_label", "j_label"), ("origin_node", "dest_node"), ("source", "target"))
@@ -64,8 +65,12 @@ def heatmap(
     cap: float = 0.95,
     clip: float = 0.98,
 ) -> DataFrame:
-    """Cells plus ``intensity`` in [0, 1], ``clip_limit`` and ``clipped`` value."""
-    cells = heatmap_cells(links, perspective, aggregation, keys)
+    """Cells plus ``intensity`` in [0, 1], ``clip_limit`` and ``clipped`` value.
+
+    The cells are written first: grid size, quantiles and result all read them,
+    and the links behind them should be read once.
+    """
+    cells = cut(heatmap_cells(links, perspective, aggregation, keys))
     return with_intensity(cells, keys, cap, clip, small_groups=aggregation != "node")
 
 

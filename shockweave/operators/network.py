@@ -51,7 +51,7 @@ def node_table(flows: DataFrame) -> DataFrame:
     countries before it, so no task sorts the whole table; only the lists of
     countries and of sectors are ranked as a whole.
     """
-    accounts = account_nodes(flows)
+    accounts = cut(account_nodes(flows))  # read three times below
     whole = W.orderBy("country").rowsBetween(W.unboundedPreceding, -1)
     offsets = accounts.groupBy("country").agg(F.count("*").alias("n")).select(
         "country", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("offset")

@@ -25,19 +25,24 @@ def keeps_edges(edges: DataFrame, vector_rows: int, pulled_rows: int) -> bool:
     return fits and pulled_rows >= WORTH_KEEPING
 
 
+def pull(edges: DataFrame, vector: DataFrame, in_place: bool = False) -> DataFrame:
+    """Edge contributions to ``A vector``, not yet added up per node."""
+    vector = vector.withColumnRenamed("node", "j")
+    if in_place:
+        vector = F.broadcast(vector)
+    return edges.select("i", "j", "a").join(vector, "j").select(
+        "scenario_id", F.col("i").alias("node"), (F.col("a") * F.col("v")).alias("v")
+    )
+
+
 def one_round(edges: DataFrame, start: DataFrame, current: DataFrame, in_place: bool = False) -> DataFrame:
     """``start + A current`` for ``(scenario_id, node, v)`` tables.
 
     The constant part and the edge contributions go into one aggregation of
     partial sums. ``in_place`` is the answer of ``keeps_edges``.
     """
-    vector = current.withColumnRenamed("node", "j")
-    if in_place:
-        vector = F.broadcast(vector)
-    pulled = edges.select("i", "j", "a").join(vector, "j").select(
-        "scenario_id", F.col("i").alias("node"), (F.col("a") * F.col("v")).alias("v")
-    )
-    return start.unionByName(pulled).groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
+    parts = start.unionByName(pull(edges, current, in_place))
+    return parts.groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
 
 
 def rounds(
@@ -62,12 +67,36 @@ def residual(edges: DataFrame, state: DataFrame, in_place: bool = False) -> Data
     return one_round(edges, gap, guess, in_place)
 
 
-def _change(new: DataFrame, old: DataFrame, scale: float) -> float:
-    """Largest L1 distance of any scenario, relative to its L1 output."""
-    signed = new.unionByName(old.withColumn("v", -F.col("v")))
-    per_node = signed.groupBy("scenario_id", "node").agg(F.sum("v").alias("d"))
-    worst = per_node.groupBy("scenario_id").agg(F.sum(F.abs("d")).alias("l1")).agg(F.max("l1"))
-    return (worst.first()[0] or 0.0) / scale
+def shrink_ratio(edges: DataFrame, nodes: DataFrame) -> float:
+    """Factor by which a round shrinks the most persistent part of an error.
+
+    The ratio of two late terms of ``A^k x``; a property of the network, the
+    same for all scenarios.
+    """
+    term = nodes.select(F.lit("all").alias("scenario_id"), "node", F.col("x").alias("v"))
+    for _ in range(CHUNK):
+        term = pull(edges, term).groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
+    term = settle(term)
+    size = term.agg(F.sum(F.abs("v"))).first()[0] or 0.0
+    following = pull(edges, term).agg(F.sum(F.abs("v"))).first()[0] or 0.0
+    return following / size if size else 0.0
+
+
+def _beside(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``(scenario_id, node, v, old)``; a row missing on one side is 0 there."""
+    zero = F.lit(0.0)
+    return (
+        new.withColumn("old", zero)
+        .unionByName(old.select("scenario_id", "node", zero.alias("v"), F.col("v").alias("old")))
+        .groupBy("scenario_id", "node")
+        .agg(F.sum("v").alias("v"), F.sum("old").alias("old"))
+    )
+
+
+def _worst(pairs: DataFrame) -> float:
+    """Largest L1 distance between ``v`` and ``old`` of any scenario."""
+    distance = F.sum(F.abs(F.col("v") - F.col("old")))
+    return pairs.groupBy("scenario_id").agg(distance.alias("d")).agg(F.max("d")).first()[0] or 0.0
 
 
 def solve(
@@ -75,25 +104,32 @@ def solve(
     start: DataFrame,
     scale: float,
     tol: float,
+    ratio: float,
     in_place: bool = False,
     maybe_done: bool = False,
     max_rounds: int = 600,
 ) -> DataFrame:
-    """``sum of A^k start`` to a relative change of ``tol`` per group of rounds.
-
-    ``scale`` is the L1 size of baseline output. Derived coefficients with
-    positive demand always converge; given shares need not, hence the bound.
-    ``maybe_done`` first tests whether ``start`` itself is below ``tol``, as it
-    is when the guess already met unchanged demand.
+    """``sum of A^k start``, until a round changes it by less than ``tol * scale``.
+
+    After a few rounds what is missing is nearly a multiple of the last
+    change, so it is added at once (``ratio`` is ``shrink_ratio``); a further
+    round then tests the result and is kept. Derived coefficients with positive
+    demand always converge; given shares need not, hence the bound.
+    ``maybe_done`` first tests ``start`` itself, which is next to nothing when
+    the guess already meets demand.
     """
-    if maybe_done and _change(start, start.limit(0), scale) < tol:
+    if maybe_done and _worst(start.withColumn("old", F.lit(0.0))) < tol * scale:
         return start
+    lift = ratio / (1 - ratio) if 0 < ratio < 0.95 else 0.0
     current = start
-    for _ in range(0, max_rounds, CHUNK):
-        following = settle(rounds(edges, start, CHUNK, in_place, current))
-        if _change(following, current, scale) < tol:
-            return following
-        current = following
+    for _ in range(0, max_rounds, CHUNK + 1):
+        before = settle(rounds(edges, start, CHUNK - 1, in_place, current))
+        pair = _beside(one_round(edges, start, before, in_place), before)
+        lifted = pair.select("scenario_id", "node", (F.col("v") + (F.col("v") - F.col("old")) * lift).alias("v"))
+        tested = settle(_beside(one_round(edges, start, lifted, in_place), lifted))
+        current = tested.select("scenario_id", "node", "v")
+        if _worst(tested) < tol * scale:
+            return current
     raise RuntimeError(f"required output did not settle within {max_rounds} rounds; check the coefficients")
 
 

@@ -37,7 +37,7 @@ def _ctes() -> list[tuple[str, str]]:
 
     add("fx_lines", """
         SELECT CAST(year(o.o_orderdate) AS INTEGER) AS time_period,
-               sn.n_name AS c_orig, p.p_type AS ptype, cn.n_name AS c_dest, cn.n_nationkey AS dest_key,
+               sn.n_name AS c_orig, p.p_type AS ptype, p.p_brand AS brand, cn.n_name AS c_dest, cn.n_nationkey AS dest_key,
                CASE c.c_mktsegment
                  WHEN 'HOUSEHOLD' THEN 'HH' WHEN 'BUILDING' THEN 'CF' WHEN 'AUTOMOBILE' THEN 'GOV'
                  ELSE CASE c.c_custkey % 6
@@ -233,6 +233,16 @@ def _ctes() -> list[tuple[str, str]]:
                SUM(CASE WHEN returnflag = 'R' THEN -price ELSE net_price END) AS value
         FROM fx_lines GROUP BY c_orig, c_dest""")
     c.extend(_heat("cells_trade"))
+    add("cells_detail", """
+        SELECT 0 AS scenario_id, concat(c_orig, '::', brand) AS src, concat(c_dest, '::', ind_use) AS dst,
+               SUM(CASE WHEN returnflag = 'R' THEN -price ELSE net_price END) AS value
+        FROM fx_lines GROUP BY ALL""")
+    c.extend(_heat("cells_detail"))
+    add("brands", """
+        SELECT *, loss_pct - avg(loss_pct) OVER () AS loss_pct_deviation FROM (
+          SELECT concat(c_orig, '::', brand) AS sector_label, SUM(CASE WHEN returnflag = 'R' THEN price ELSE 0 END) AS loss_abs,
+                 round(100.0 * SUM(CASE WHEN returnflag = 'R' THEN price ELSE 0 END) / SUM(price), 6) + 0.0 AS loss_pct
+          FROM fx_lines GROUP BY ALL)""")
     add("country_rounded", f"SELECT *, {pct('loss_abs', 'X_baseline')} AS loss_pct FROM by_country")
     add("country_dev", """
         SELECT *, loss_pct - avg(loss_pct) OVER (PARTITION BY scenario_id) AS loss_pct_deviation FROM country_rounded""")
@@ -574,6 +584,14 @@ def _finals() -> dict[str, str]:
     q["heatmap_clip"] = _select([s, rate("clip_limit", 7)], "cells_node_pct_limits")
     q["heatmap_trade"] = _select(
         ["src", "dst", money("value"), rate("intensity", 7), money("clip_limit"), money("clipped")], "cells_trade_heat")
+    q["heatmap_trade_detail"] = _select(
+        ["src", "dst", money("value"), rate("intensity", 7), money("clip_limit"), money("clipped")], "cells_detail_heat")
+    signed = ["sector_label", "CASE WHEN loss_pct_deviation >= 0 THEN 'Positive' ELSE 'Negative' END AS direction",
+              money("loss_abs"), rate("loss_pct", 6), rate("loss_pct_deviation", 7)]
+    q["brand_deviation"] = " UNION ALL ".join(
+        _select(signed, f"""(SELECT *, row_number() OVER (ORDER BY loss_pct_deviation {d}, sector_label) AS k
+            FROM brands WHERE loss_pct_deviation {op} 0)""", "WHERE k <= 20")
+        for d, op in (("ASC", "<"), ("DESC", ">")))
     q["country_deviation"] = _select(
         [s, "country", rate("loss_pct"), rate("loss_pct_deviation")], "country_dev")
     dev = [s, "sector_label", "CASE WHEN loss_pct_deviation >= 0 THEN 'Positive' ELSE 'Negative' END AS direction",

@@ -221,7 +221,7 @@ def cube_quarantine(spark, sf_dir):
 
 
 def _output(spark, sf_dir) -> DataFrame:
-    return calibrate.constant_price_output(cut(fx.output_cells(spark, sf_dir)), base_year=fx.BASE_YEAR)
+    return calibrate.constant_price_output(fx.output_cells(spark, sf_dir), base_year=fx.BASE_YEAR)
 
 
 @query
@@ -236,7 +236,7 @@ def constant_price_output(spark, sf_dir):
 def constant_price_output_from_cubes(spark, sf_dir):
     cells = cube.output_cells(cube.payloads_to_long(cut(fx.mixed_payloads(spark, sf_dir))))
     output = calibrate.constant_price_output(
-        cut(cells), base_year=fx.BASE_YEAR, geos=fx.country_dimension(spark, sf_dir).select(F.col("code").alias("geo")), years=fx.YEARS
+        cells, base_year=fx.BASE_YEAR, geos=fx.country_dimension(spark, sf_dir).select(F.col("code").alias("geo")), years=fx.YEARS
     )
     return output.select("geo", "year", money("output_mn_eur"), "used_pooled_deflator")
 
@@ -703,7 +703,7 @@ def heatmap_matrix(spark, sf_dir):
 
 @query
 def heatmap_clip(spark, sf_dir):
-    cells = heatmap.heatmap_cells(_links(spark, sf_dir), "percentage", "node", ["scenario_id"])
+    cells = cut(heatmap.heatmap_cells(_links(spark, sf_dir), "percentage", "node", ["scenario_id"]))
     return heatmap.clip_limits(cells, ["scenario_id"]).select("scenario_id", rate("clip_limit", 7))
 
 
@@ -719,6 +719,32 @@ def heatmap_trade(spark, sf_dir):
     return cells.select("src", "dst", money("value"), rate("intensity", 7), money("clip_limit"), money("clipped"))
 
 
+@query
+def heatmap_trade_detail(spark, sf_dir):
+    """Heatmap of raw order lines on the grid of (country, brand) x (country, account)."""
+    lines = fx.flow_lines(spark, sf_dir).select(
+        node_label("c_orig", "brand").alias("origin_node"),
+        node_label("c_dest", "ind_use").alias("dest_node"),
+        F.when(F.col("returnflag") == "R", -F.col("price")).otherwise(F.col("net_price")).alias("delta"),
+    )
+    cells = heatmap.heatmap(lines, "absolute", "node")
+    return cells.select("src", "dst", money("value"), rate("intensity", 7), money("clip_limit"), money("clipped"))
+
+
+@query
+def brand_deviation(spark, sf_dir):
+    """Returned share of every (country, brand) against the mean: extremes of a long list."""
+    returned = F.sum(F.when(F.col("returnflag") == "R", F.col("price")).otherwise(0.0))
+    brands = (
+        fx.flow_lines(spark, sf_dir)
+        .groupBy(node_label("c_orig", "brand").alias("sector"))
+        .agg(returned.alias("loss_abs"), F.sum("price").alias("sold"))
+        .withColumn("loss_pct", plain(F.lit(100.0) * F.col("loss_abs") / F.col("sold"), 6))
+    )
+    d = deviation.sector_deviations(brands, k=20, keys=())
+    return d.select("sector_label", "direction", money("loss_abs"), rate("loss_pct", 6), rate("loss_pct_deviation", 7))
+
+
 # --- deviations, rankings, points ------------------------------------------
 
 

@@ -68,7 +68,7 @@ def run(
     iteration.
     """
     check_controls(gamma, max_iter, tol)
-    inner_tol = inner_tol if inner_tol is not None else 1e-2 * tol
+    inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
     # Re-read every round; a lost executor's part is read again from the table.
     edges = network.edges.persist()
     sizes = network.nodes.agg(F.count("*"), F.sum(F.abs("x"))).first()
@@ -78,13 +78,16 @@ def run(
     rows = state.count()
     active = rows // node_rows
     in_place = required.keeps_edges(edges, rows, edges.count() * active)
+    ratio = required.shrink_ratio(edges, network.nodes) if inner_rounds is None else 0.0
     change = settle(required.residual(edges, state, in_place))
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
     seen: list[DataFrame] = []
     for iteration in range(1, max_iter + 1):
         if inner_rounds is None:
-            correction = required.solve(edges, change, scale, inner_tol, in_place, maybe_done=iteration == 1)
+            correction = required.solve(
+                edges, change, scale, inner_tol, ratio, in_place, maybe_done=iteration == 1
+            )
         else:
             correction = settle(required.rounds(edges, change, inner_rounds, in_place))
         stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma, noise))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,14 +44,14 @@ def account_nodes(flows: DataFrame) -> DataFrame:
     )
 
 
-def node_table(flows: DataFrame) -> DataFrame:
-    """``(node, label, country, sector, globsec)``, numbered by (country, sector) from 0.
+def numbered(accounts: DataFrame) -> DataFrame:
+    """Adds ``node``, ``label`` and ``globsec``, numbering by (country, sector) from 0.
 
     The number is the rank inside the country plus the number of nodes in the
     countries before it, so no task sorts the whole table; only the lists of
-    countries and of sectors are ranked as a whole.
+    countries and of sectors are ranked as a whole. ``accounts`` is read three
+    times and should be a written table.
     """
-    accounts = cut(account_nodes(flows))  # read three times below
     whole = W.orderBy("country").rowsBetween(W.unboundedPreceding, -1)
     offsets = accounts.groupBy("country").agg(F.count("*").alias("n")).select(
         "country", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("offset")
@@ -64,16 +64,17 @@ def node_table(flows: DataFrame) -> DataFrame:
         accounts.withColumn("rank", inside)
         .join(offsets, "country")
         .join(sectors, "sector")
-        .select(
-            (F.col("offset") + F.col("rank") - 1).cast("int").alias("node"),
-            node_label("country", "sector").alias("label"),
-            "country",
-            "sector",
-            "globsec",
-        )
+        .withColumn("node", (F.col("offset") + F.col("rank") - 1).cast("int"))
+        .withColumn("label", node_label("country", "sector"))
+        .drop("offset", "rank")
     )
 
 
+def node_table(flows: DataFrame) -> DataFrame:
+    """``(node, label, country, sector, globsec)`` of all production accounts."""
+    return numbered(cut(account_nodes(flows)))
+
+
 def edge_table(compact: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(i, j, globsec, z, share)`` between production nodes; duplicates are added up."""
     origin = nodes.select(
@@ -88,44 +89,34 @@ def edge_table(compact: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def final_demand(compact: DataFrame) -> DataFrame:
-    """``(country, sector, fd)`` of the accounts that sell to final demand."""
-    return (
-        compact.filter(is_production("ind_ava") & is_final_demand("ind_use"))
-        .groupBy(F.col("c_orig").alias("country"), F.col("ind_ava").alias("sector"))
-        .agg(zero_if_null(F.sum("value")).alias("fd"))
-    )
+def account_sums(compact: DataFrame) -> DataFrame:
+    """``(country, sector, fd, z_row, z_col, x)`` of all production accounts.
 
-
-def with_accounts(nodes: DataFrame, edges: DataFrame, demand: DataFrame) -> DataFrame:
-    """Adds ``fd``, ``z_row``, ``z_col`` and ``x = z_row + fd``; absent values are 0.
-
-    Row and column sums leave the edges in one pass, as (node, z_row, z_col)
-    contributions, and meet final demand in a single aggregation.
+    Every flow contributes to its two ends: final demand or intermediate sales
+    of the seller, inputs of the user. One aggregation gives the accounts,
+    their final demand, both sums of the edge matrix and output
+    ``x = z_row + fd``; what an account lacks is 0.
     """
-    zero = F.lit(0.0)
-    ends = F.array(
-        F.struct(F.col("i").alias("node"), F.col("z").alias("z_row"), zero.alias("z_col")),
-        F.struct(F.col("j").alias("node"), zero.alias("z_row"), F.col("z").alias("z_col")),
-    )
-    sums = (
-        edges.select(F.explode(ends).alias("end"))
-        .groupBy("end.node")
-        .agg(F.sum("end.z_row").alias("z_row"), F.sum("end.z_col").alias("z_col"))
+    value, zero = zero_if_null("value"), F.lit(0.0)
+    between = is_production("ind_ava") & is_production("ind_use")
+
+    def end(country: str, sector: str, fd, z_row, z_col):
+        parts = (F.col(country).alias("country"), F.col(sector).alias("sector"), fd.alias("fd"), z_row.alias("z_row"), z_col.alias("z_col"))
+        return F.when(is_production(sector), F.struct(*parts))
+
+    seller = end(
+        "c_orig", "ind_ava",
+        F.when(is_final_demand("ind_use"), value).otherwise(zero),
+        F.when(between, value).otherwise(zero),
+        zero,
     )
+    user = end("c_dest", "ind_use", zero, zero, F.when(between, value).otherwise(zero))
     return (
-        nodes.join(demand, ["country", "sector"], "left")
-        .join(sums, "node", "left")
-        .select(
-            *[nodes[c] for c in nodes.columns if c not in ("node", "country", "sector")],
-            "node",
-            "country",
-            "sector",
-            zero_if_null("fd").alias("fd"),
-            zero_if_null("z_row").alias("z_row"),
-            zero_if_null("z_col").alias("z_col"),
-            (zero_if_null("z_row") + zero_if_null("fd")).alias("x"),
-        )
+        compact.select(F.explode(F.array(seller, user)).alias("end"))
+        .filter(F.col("end").isNotNull())
+        .groupBy("end.country", "end.sector")
+        .agg(*[F.sum(f"end.{c}").alias(c) for c in ("fd", "z_row", "z_col")])
+        .withColumn("x", F.col("z_row") + F.col("fd"))
     )
 
 
@@ -159,11 +150,14 @@ def in_blocks(edges: DataFrame, rows: int, rows_per_block: int = 5_000) -> DataF
 
 
 def build_network(flows: DataFrame, coefficients: str = "derived") -> Network:
-    """Baseline network of one period, written to the shared folder."""
+    """Baseline network of one period, written to the shared folder.
+
+    The number of edges is observed while the accounts are computed.
+    """
     compact = cut(compact_flows(flows))
-    ids = cut(node_table(compact))
-    raw = edge_table(compact, ids)
-    nodes = cut(with_accounts(ids, raw, final_demand(compact)))
-    rows = compact.filter(is_production("ind_ava") & is_production("ind_use")).count()
-    edges = cut(in_blocks(with_coefficients(raw, nodes, coefficients), rows))
-    return Network(nodes, edges)
+    seen = Observation("edges")
+    between = is_production("ind_ava") & is_production("ind_use")
+    observed = compact.observe(seen, F.count_if(between).alias("rows"))
+    nodes = cut(numbered(cut(account_sums(observed))))
+    edges = with_coefficients(edge_table(compact, nodes), nodes, coefficients)
+    return Network(nodes, cut(in_blocks(edges, seen.get["rows"])))

@@ -30,7 +30,7 @@ from shockweave.plans import fixtures as fx
 from shockweave.plans import stress, suite
 from shockweave.sources import cube, dims, flows, sinks
 from shockweave.sources.losses import HAZARDS
-from shockweave.storage import cut, settle, shared_folder
+from shockweave.storage import cut, fresh_path, settle
 
 DISPLAY_RATE = 1.95583
 GAMMA = 0.5
@@ -128,9 +128,7 @@ def coefficients(spark, sf_dir):
 def _flows_with_shares(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Flows with shares, those between two given countries off by one percent, and the nodes."""
     source = cut(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
-    compact = flows.compact_flows(source)
-    ids = network.node_table(compact)
-    nodes = cut(network.with_accounts(ids, network.edge_table(compact, ids), network.final_demand(compact)))
+    nodes = cut(network.numbered(cut(network.account_sums(flows.compact_flows(source)))))
     off = (F.col("c_orig") == "NATION_1") & (F.col("c_dest") == "NATION_2")
     shared = fx.with_shares(source, nodes).withColumn(
         "share", F.when(off, F.col("share") * 1.01).otherwise(F.col("share"))
@@ -251,7 +249,7 @@ def fallback_report(spark, sf_dir):
 
 @query
 def output_series_export(spark, sf_dir):
-    path = f"{shared_folder(spark)}/output-series"
+    path = fresh_path(spark, "output-series")
     written = _output(spark, sf_dir).select("geo", "year", "output_mn_eur")
     sinks.export_output_series(written, path, "csv")
     back = spark.read.option("header", True).schema("geo string, year int, output_mn_eur double").csv(path)
@@ -588,7 +586,7 @@ def totals(spark, sf_dir):
 @query
 def node_impact_csv(spark, sf_dir):
     _, _, impacts = _impacts(spark, sf_dir)
-    path = f"{shared_folder(spark)}/node-impacts"
+    path = fresh_path(spark, "node-impacts")
     sinks.write_csv(impacts, path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in impacts.schema)
     back = spark.read.option("header", True).schema(schema).csv(path)

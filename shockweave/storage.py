@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -28,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/shockweave-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the written table.
 
@@ -35,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     executor, and its exact size lets Spark choose broadcast or sort-merge for
     the joins that follow. The schema is passed on, so no footer is read.
     """
-    path = f"{shared_folder(df.sparkSession)}/shockweave-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

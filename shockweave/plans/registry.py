@@ -27,7 +27,7 @@ from shockweave.operators import (
     shocks,
 )
 from shockweave.plans import fixtures as fx
-from shockweave.plans import stress, suite
+from shockweave.plans import stress
 from shockweave.sources import cube, dims, flows, sinks
 from shockweave.sources.losses import HAZARDS
 from shockweave.storage import cut, fresh_path, settle
@@ -835,7 +835,6 @@ def range_violations(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shock scenarios to a feasible state in a few iterations, then loss by country."""
+    """Shock scenarios towards a feasible state in two iterations, then loss by country."""
     result = _run(spark, sf_dir, gamma=GAMMA, max_iter=2, tol=1e-4, inner_rounds=6)
-    tables = suite.impact_tables(result, country_dim=fx.country_dimension(spark, sf_dir))
-    return tables["country"]
+    return impact.by_loss(impact.country_impacts(impact.node_impacts(result.nodes, result.network.nodes)))

@@ -37,7 +37,7 @@ def _ctes() -> list[tuple[str, str]]:
 
     add("fx_lines", """
         SELECT CAST(year(o.o_orderdate) AS INTEGER) AS time_period,
-               sn.n_name AS c_orig, p.p_type AS ptype, p.p_brand AS brand, cn.n_name AS c_dest, cn.n_nationkey AS dest_key,
+               sn.n_name AS c_orig, p.p_type AS ptype, p.p_brand AS brand, cn.n_name AS c_dest, cn.n_nationkey AS dest_key, c.c_custkey AS custkey,
                CASE c.c_mktsegment
                  WHEN 'HOUSEHOLD' THEN 'HH' WHEN 'BUILDING' THEN 'CF' WHEN 'AUTOMOBILE' THEN 'GOV'
                  ELSE CASE c.c_custkey % 6
@@ -137,6 +137,22 @@ def _ctes() -> list[tuple[str, str]]:
         FROM shocks s JOIN nodes n ON n.node = s.node""")
     add("state", "SELECT *, x0 * (1 - sd) AS xdem FROM start")
     c.extend(_step("", "state"))
+    # larger network: sector = type x brand
+    add("pairs", """
+        SELECT pair, row_number() OVER (ORDER BY pair) - 1 AS k
+        FROM (SELECT DISTINCT concat(p_type, '_', p_brand) AS pair FROM part)""")
+    add("detail_flow", f"""
+        SELECT l.c_orig, concat('P_', l.ptype, '_', l.brand) AS ind_ava, l.c_dest,
+               CASE WHEN starts_with(l.ind_use, 'P_') THEN coalesce(concat('P_', p.pair), l.ind_use) ELSE l.ind_use END AS ind_use,
+               l.net_price AS value
+        FROM fx_lines l LEFT JOIN pairs p ON p.k = l.custkey % 150 WHERE l.time_period = {NETWORK_PERIOD}""")
+    add("detail_sums", """
+        SELECT country, sector, SUM(fd) AS fd, SUM(z_row) AS z_row, SUM(z_col) AS z_col FROM (
+          SELECT c_orig AS country, ind_ava AS sector, CASE WHEN ind_use IN ('HH', 'GOV', 'CF', 'WRL_REST') THEN value ELSE 0 END AS fd,
+                 CASE WHEN starts_with(ind_use, 'P_') THEN value ELSE 0 END AS z_row, 0 AS z_col FROM detail_flow
+          UNION ALL
+          SELECT c_dest, ind_use, 0, 0, value FROM detail_flow WHERE starts_with(ind_use, 'P_'))
+        GROUP BY country, sector""")
     # output and calibration
     add("series", """
         SELECT geo, year, max(CASE WHEN unit = 'CP_MEUR' THEN value END) AS cp,
@@ -405,6 +421,10 @@ def _finals() -> dict[str, str]:
     q["node_table"] = "SELECT * FROM ids"
     q["edge_table"] = _select(["i", "j", "globsec", plain("z")], "raw_edges")
     q["final_demand_output"] = _select([lab, plain("fd"), plain("z_row"), plain("z_col"), plain("x")], "nodes")
+    q["detailed_network_output"] = f"""
+        SELECT CAST(row_number() OVER (ORDER BY country, sector) - 1 AS INTEGER) AS node, concat(country, '::', sector) AS label,
+               CAST(dense_rank() OVER (ORDER BY sector) - 1 AS INTEGER) AS globsec,
+               {plain('fd')}, {plain('z_row')}, {plain('z_col')}, {plain('z_row + fd', 'x')} FROM detail_sums"""
     q["network_sanity"] = f"""
         SELECT n.n_nodes, e.n_edges,
           CASE WHEN e.n_edges = n.n_nodes * n.n_nodes THEN e.z ELSE least(e.z, 0.0) END + 0.0 AS min_z,

@@ -106,6 +106,13 @@ def final_demand_output(spark, sf_dir):
     return nodes.select("label", plain("fd"), plain("z_row"), plain("z_col"), plain("x"))
 
 
+@query
+def detailed_network_output(spark, sf_dir):
+    """Accounts of the larger network, whose sectors are type x brand."""
+    nodes = network.build_network(fx.detailed_flow_table(spark, sf_dir, fx.NETWORK_PERIOD)).nodes
+    return nodes.select("node", "label", "globsec", plain("fd"), plain("z_row"), plain("z_col"), plain("x"))
+
+
 @query
 def network_sanity(spark, sf_dir):
     net = _network(spark, sf_dir)

@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockweave.llm import decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, quality, secrets, token_output, warc
+from shockweave.llm import (
+    decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, quality, secrets, token_output, warc,
+)
 from shockweave.llm.tables import importable, table
 
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

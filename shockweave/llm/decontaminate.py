@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.llm.hashing import LOWER, joined, runs, span_hashes, windows
-from shockweave.llm.tables import slices, texts_of
+from shockweave.llm.tables import boxed, slices, texts_of, unboxed
 from shockweave.storage import cut
 
 WINDOW = 8
@@ -181,6 +181,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that no item contaminates."""
-    keys = contaminated(docs, benchmark, share).select(F.col("key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(keys, "_key", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = contaminated(docs, benchmark, share).select("key").distinct()
+    return unboxed(boxed(docs, key=F.xxhash64("doc_id", "text")).join(keys, "key", "left_anti"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockweave.llm.hashing import mixed, shingle_sets
-from shockweave.llm.tables import components, slices, texts_of
+from shockweave.llm.tables import boxed, components, slices, texts_of, unboxed
 from shockweave.storage import cut
 
 #: Counters for list lengths, a power of two, and how many make a row on their way.
@@ -259,8 +259,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
 
     Rows without doc_id stay if their texts have no shingles or reach no row with an id.
     """
-    kept = jaccard_join(docs, size, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = Window.partitionBy("_id").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).alias("d").join(kept.alias("k"), F.expr("d._id <=> k._id"), "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1 or _id is null")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = jaccard_join(docs, size, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
+    one = Window.partitionBy("id").orderBy("text")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    rows = rows.join(kept, F.expr("id <=> kept"), "left_semi").withColumn("n", F.row_number().over(one))
+    return unboxed(rows.where("n = 1 or id is null"))

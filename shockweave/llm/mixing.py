@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockweave.llm.tables import running_totals
+from shockweave.llm.tables import boxed, running_totals, unboxed
 from shockweave.storage import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -93,12 +93,12 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, group, p_held, s_held, k_held = None, None, 0.0, 0, 0
 
     def done(row: pa.RecordBatch, values: list[float]) -> pa.RecordBatch:
-        at = row.schema.get_field_index("_p")
+        at = row.schema.get_field_index("p")
         return row.set_column(at, row.schema.field(at), pa.array(values, pa.float64()))
 
     for batch in batches:
-        keys = zip(*[batch.column(c).to_pylist() for c in ("_source", "_bucket", "_p", "_size", "_key")])
-        values, open_at = batch.column("_p").to_pylist(), None
+        keys = zip(*[batch.column(c).to_pylist() for c in ("source", "bucket", "p", "size", "key")])
+        values, open_at = batch.column("p").to_pylist(), None
         for i, (source, bucket, p, size, key) in enumerate(keys):
             if not 0 < p < 1:
                 continue
@@ -139,49 +139,44 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_copies``: how often the mix takes each row.
+    """``row`` (the columns of ``docs``), ``size``, ``source_size``, ``target``, ``copies`` of every row.
 
-    ``keep`` names the columns to carry along, all by default.
+    ``copies`` is how often the mix takes the row; ``keep`` names the columns to carry in
+    ``row``, all by default.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long"),
-            "_source": F.col("source").cast("string"),
-            "_key": F.xxhash64("doc_id", "text"),
-        }
-    ).select(*[F.col(f"`{c}`") for c in keep or docs.columns], "_size", "_source", "_key")
-    wanted = targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, most)
-    wanted = wanted.select(
-        F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        F.expr("if(source_size > 0, target / source_size, 0)").alias("_rate"),
-        F.ceil(F.col("docs") / BUCKET).alias("_buckets"),
+    sized = boxed(
+        docs, keep,
+        size=F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long"),
+        source=F.col("source").cast("string"),
+        key=F.xxhash64("doc_id", "text"),
     )
-    rows = sized.join(wanted, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of").withColumns(
-        {
-            "_p": F.expr("if(_size > 0, _rate - floor(_rate), 0D)"),
-            "_bucket": F.expr("pmod(_key, _buckets)"),
-        }
+    wanted = targets(sized.select("source", "size"), weights, most).select(
+        F.col("source").alias("of"), "source_size", "target",
+        F.expr("if(source_size > 0, target / source_size, 0)").alias("rate"),
+        F.ceil(F.col("docs") / BUCKET).alias("buckets"),
     )
-    settled, top = None, None
+    rows = sized.join(wanted, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumns(
+        {"p": F.expr("if(size > 0, rate - floor(rate), 0D)"), "bucket": F.expr("pmod(key, buckets)")}
+    )
+    settled = None
     while True:
-        rows = rows.repartition(parts, "_source", "_bucket").sortWithinPartitions("_source", "_bucket", F.desc("_size"), "_key")
+        rows = rows.repartition(parts, "source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "key")
         rows = cut(rows.mapInArrow(_rounded, rows.schema))
-        done = rows.where("_p <= 0 or _p >= 1")
+        done = rows.where("p <= 0 or p >= 1")
         settled = done if settled is None else settled.unionByName(done)
-        rows = rows.where("_p > 0 and _p < 1")
-        top = rows.agg(F.max("_bucket").alias("top"), F.count("*").alias("n")).first()
-        if not top.n or not top.top:
+        rows = rows.where("p > 0 and p < 1")
+        top = rows.agg(F.max("bucket").alias("bucket"), F.count("*").alias("n")).first()
+        if not top.n or not top.bucket:
             break
-        rows = rows.withColumn("_bucket", F.expr(f"_bucket div {FAN}"))
-    draw = F.expr("if(pmod(xxhash64(_key, 'last'), 1 << 30) / double(1 << 30) < _p, 1D, 0D)")
-    settled = settled.unionByName(rows.withColumn("_p", draw))
-    return settled.withColumn("_copies", F.expr("cast(floor(_rate) + _p as long)")).drop("_source", "_key", "_rate", "_buckets", "_p", "_bucket")
+        rows = rows.withColumn("bucket", F.expr(f"bucket div {FAN}"))
+    draw = F.expr("if(pmod(xxhash64(key, 'last'), 1 << 30) / double(1 << 30) < p, 1D, 0D)")
+    settled = settled.unionByName(rows.withColumn("p", draw))
+    return settled.select("row", "size", "source_size", "target", F.expr("cast(floor(rate) + p as long)").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of the mix, each as often as it is taken."""
-    taken = mix(docs, weights, most).where("_copies > 0")
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, weights, most).where("copies > 0")
+    return unboxed(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.llm.hashing import LOWER, SPACE, joined, runs, span_hashes
-from shockweave.llm.tables import slices, texts_of
+from shockweave.llm.tables import boxed, slices, texts_of, unboxed
 
 PASSAGE_WORDS = 48
 TRAIN_DOCS = 4000
@@ -203,30 +203,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     return Model.fresh(np.concatenate(bags)).fit(bags, y)
 
 
-def score(docs: DataFrame, model: Model | Constant) -> DataFrame:
-    """``docs`` with ``_score``; all columns pass through."""
+def score(docs: DataFrame, model: Model | Constant, keep: list[str] | None = None) -> DataFrame:
+    """``row``, the columns of ``docs`` or those in ``keep``, and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            p = shared.value.scores(texts_of(batch.column("_text")))
-            at = batch.schema.get_field_index("_text")
-            yield batch.set_column(at, pa.field("_score", pa.float64()), pa.array(p))
+        for batch in slices(batches, "text"):
+            p = shared.value.scores(texts_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p)], ["row", "score"])
 
-    rows = docs.withColumn("_text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
+    rows = boxed(docs, keep, text=F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(docs, labels)
-    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select(
-        "doc_id", F.expr(HELD_OUT).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+    scored = score(docs, model, ["doc_id"])
+    return scored.select("row.doc_id", "score").select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    kept = score(docs, train(docs, labels)).where(F.col("_score") >= THRESHOLD)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD))

@@ -37,8 +37,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return mixed.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), "source",
+        "row.doc_id", "size", "source_size", "target", F.expr("copies * size").alias("taken"), "row.source"
     )
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shockweave.storage import cut
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """``row``, a struct of the columns of ``docs``, and further columns that so can't clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+    return docs.select(row.alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The strings of an Arrow column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

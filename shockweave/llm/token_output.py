@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ class Encoder:
         split = {p: self.parts(p) for p in pieces}
         new = [p for p in {x for pair in split.values() for x in pair} if p and p not in self.known]
         for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            self.known[p] = array("I", e.ids).tobytes()  # little-endian on all that Spark runs on
         for p, (core, tail) in split.items():
             if p not in self.known:
                 self.known[p] = self.known[core] + (self.known[tail] if tail else b"")

@@ -25,7 +25,7 @@ def mean_deviation(
     is never held in one task.
     """
     if metric not in df.columns:
-        raise ValueError(f"Baseline metric '{metric}' is missing from dataset.")
+        raise ValueError(f"no column {metric!r} to take deviations of; there are {', '.join(df.columns)}")
     v = lenient_double(metric)
     if not keys:
         return df.withColumn(output, v - df.agg(F.avg(v)).scalar())

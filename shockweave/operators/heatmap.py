@@ -71,7 +71,7 @@ def heatmap(
     and the links behind them should be read once.
     """
     cells = cut(heatmap_cells(links, perspective, aggregation, keys))
-    return with_intensity(cells, keys, cap, clip, small_groups=aggregation != "node")
+    return with_intensity(cells, keys, cap, clip)
 
 
 def with_intensity(
@@ -79,18 +79,16 @@ def with_intensity(
     keys: Sequence[str] = (),
     cap: float = 0.95,
     clip: float = 0.98,
-    small_groups: bool = False,
 ) -> DataFrame:
     """``min(|value| / cap, 1)`` and ``value`` limited to plus or minus the clip limit."""
     group = list(keys) or ["_all"]
-    work = cells if keys else cells.withColumn("_all", F.lit(0))
+    work = cells if keys else cells.withColumn("_all", F.hash("value").bitwiseAND(F.lit(0)))  # a key, so joins need no nested loops
     found = nearest_quantiles(
         work.withColumn("_abs", F.abs("value")),
         group,
         "_abs",
         {"cap": cap, "clip_limit": clip},
         zeros=_zero_cells(work, group),
-        small_groups=small_groups,
     )
     limits = found.groupBy(*group).agg(
         F.max(F.when(F.col("name") == "cap", F.col("quantile"))).alias("_cap"),
@@ -107,7 +105,7 @@ def with_intensity(
     )
 
 
-def clip_limits(cells: DataFrame, keys: Sequence[str], clip: float = 0.98, small_groups: bool = False) -> DataFrame:
+def clip_limits(cells: DataFrame, keys: Sequence[str], clip: float = 0.98) -> DataFrame:
     """``(keys, clip_limit)``: symmetric clipping threshold of the full grid."""
     return nearest_quantiles(
         cells.withColumn("_abs", F.abs("value")),
@@ -115,7 +113,6 @@ def clip_limits(cells: DataFrame, keys: Sequence[str], clip: float = 0.98, small
         "_abs",
         {"clip_limit": clip},
         zeros=_zero_cells(cells, list(keys)),
-        small_groups=small_groups,
     ).select(*keys, F.col("quantile").alias("clip_limit"))
 
 

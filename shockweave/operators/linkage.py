@@ -64,9 +64,14 @@ def mask_small_baseline(changes: DataFrame, min_baseline: float) -> DataFrame:
     return changes.withColumns({"delta": kept("delta"), "final": kept("final"), "baseline": kept("baseline")})
 
 
-def top_links(changes: DataFrame, side: str, k: int = 25, min_baseline: float = 0.0) -> DataFrame:
+def top_links(
+    changes: DataFrame, side: str, k: int = 25, min_baseline: float = 0.0, metric: str = "Z"
+) -> DataFrame:
     """The ``k`` most weakened or strengthened links of each scenario, with their ``rank``.
 
+    ``min_baseline`` is an amount and masks flows (metric ``Z``) only; coefficients
+    (metric ``A``) are ranked as they are.
+
     Signs are not filtered; ties go by (i, j). The rank limit is applied inside
     each task before the shuffle.
     """
@@ -74,7 +79,8 @@ def top_links(changes: DataFrame, side: str, k: int = 25, min_baseline: float =
         raise ValueError(f"side must be 'weakened' or 'strengthened', not {side!r}")
     first = F.asc("delta") if side == "weakened" else F.desc("delta")
     rank = F.row_number().over(W.partitionBy("scenario_id").orderBy(first, "i", "j"))
-    return mask_small_baseline(changes, min_baseline).withColumn("rank", rank).filter(F.col("rank") <= k)
+    masked = mask_small_baseline(changes, min_baseline) if metric.upper() == "Z" else changes
+    return masked.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def signed_link_table(weakened: DataFrame, strengthened: DataFrame, k: int = 20) -> DataFrame:

@@ -143,9 +143,7 @@ def in_blocks(edges: DataFrame, rows: int, rows_per_block: int = 5_000) -> DataF
     edges of a hub over ``p`` tasks. Blocks are small because every edge is
     read once per scenario.
     """
-    parallelism = edges.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, min(4 * parallelism, ceil(rows / rows_per_block)))
-    p = ceil(sqrt(blocks))
+    p = max(1, ceil(sqrt(rows / rows_per_block)))
     return edges.repartitionById(p * p, (F.col("i") % p) * p + F.col("j") % p)
 
 

@@ -43,26 +43,19 @@ def nearest_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     zeros: DataFrame | None = None,
-    small_groups: bool = False,
 ) -> DataFrame:
     """``(keys, name, quantile)``; ``zeros`` holds (keys, n_zeros).
 
     Groups of any size: values are counted in logarithmic buckets, the bucket
     that holds the rank is split linearly, and only what shares the final
     bucket is ranked, with equal values merged. Both bucket numbers rise with
-    the value, so the result is exact. ``small_groups`` ranks directly where a
-    group is bounded by code lists.
+    the value, so the result is exact.
     """
     keys = list(keys)
     v = values.select(*keys, F.col(value).cast("double").alias("v"))
     targets = _targets(v, keys, quantiles, zeros)
     on_zero = targets.filter(F.col("rank") < 0).select(*keys, "name", F.lit(0.0).alias("quantile"))
     ranked = targets.filter(F.col("rank") >= 0)
-    if small_groups:
-        position = F.row_number().over(W.partitionBy(*keys).orderBy("v")) - 1
-        found = v.withColumn("rank", position.cast("long")).join(ranked, [*keys, "rank"])
-        return on_zero.unionByName(found.select(*keys, "name", F.col("v").alias("quantile")))
-
     bucketed = v.withColumn(
         "b", F.when(F.col("v") > 0, F.floor(F.ln("v") * LOG_BUCKETS_PER_E)).otherwise(F.lit(-(10**6)))
     )

@@ -10,7 +10,6 @@ from shockweave.functions.labels import is_production
 from shockweave.functions.numeric import ratio_nonzero
 from shockweave.operators.shocks import SCENARIO_SCHEMA
 
-NETWORK_PERIOD = 2000
 YEARS = tuple(range(1995, 2002))
 BASE_YEAR = 2001
 MIN_YEARS = 5

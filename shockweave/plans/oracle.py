@@ -6,7 +6,7 @@ one it needs and everything before it is prepended.
 
 from __future__ import annotations
 
-from shockweave.plans.fixtures import BASE_YEAR, HAZARD_OF_PRIORITY, MIN_YEARS, NETWORK_PERIOD, USER_SECTORS, YEARS
+from shockweave.plans.fixtures import BASE_YEAR, HAZARD_OF_PRIORITY, MIN_YEARS, USER_SECTORS, YEARS
 from shockweave.plans.registry import BOUNDS, DISPLAY_RATE, FLOW_DELTA, GAMMA
 
 NOISE = "1e-9"
@@ -95,7 +95,7 @@ def _ctes() -> list[tuple[str, str]]:
           ('S3', NULL, 'P_PROMO', 2.5, 0.0), ('S4', NULL, NULL, 0.0, 4.0)
         ) AS t(scenario_id, country, sector, supply_pct, demand_pct)""")
     # network
-    add("net_flow", f"SELECT * FROM fx_flow WHERE time_period = {NETWORK_PERIOD}")
+    add("net_flow", "SELECT * FROM fx_flow WHERE time_period = (SELECT max(time_period) FROM fx_flow)")
     add("accounts", """
         SELECT c_orig AS country, ind_ava AS sector FROM net_flow WHERE starts_with(ind_ava, 'P_')
         UNION SELECT c_dest, ind_use FROM net_flow WHERE starts_with(ind_use, 'P_')""")
@@ -145,7 +145,7 @@ def _ctes() -> list[tuple[str, str]]:
         SELECT l.c_orig, concat('P_', l.ptype, '_', l.brand) AS ind_ava, l.c_dest,
                CASE WHEN starts_with(l.ind_use, 'P_') THEN coalesce(concat('P_', p.pair), l.ind_use) ELSE l.ind_use END AS ind_use,
                l.net_price AS value
-        FROM fx_lines l LEFT JOIN pairs p ON p.k = l.custkey % 150 WHERE l.time_period = {NETWORK_PERIOD}""")
+        FROM fx_lines l LEFT JOIN pairs p ON p.k = l.custkey % 150 WHERE l.time_period = (SELECT max(time_period) FROM fx_lines)""")
     add("detail_sums", """
         SELECT country, sector, SUM(fd) AS fd, SUM(z_row) AS z_row, SUM(z_col) AS z_col FROM (
           SELECT c_orig AS country, ind_ava AS sector, CASE WHEN ind_use IN ('HH', 'GOV', 'CF', 'WRL_REST') THEN value ELSE 0 END AS fd,
@@ -581,7 +581,7 @@ def _finals() -> dict[str, str]:
         return f"""(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY delta {direction}, i, j) AS INTEGER)
             AS rank FROM {source}) WHERE rank <= {k})"""
 
-    q["links_weakened"] = _select(["rank", *link, *coeff], top("changes_a", "ASC", 25))
+    q["links_weakened"] = q["links_weakened_min_baseline_a"] = _select(["rank", *link, *coeff], top("changes_a", "ASC", 25))
     q["links_strengthened"] = _select(["rank", *link, *coeff], top("changes_a", "DESC", 25))
     kept = "CASE WHEN baseline >= 20000.0 THEN {0} ELSE 0.0 END AS {0}"
     masked = f"""(SELECT scenario_id, i, j, i_label, j_label, delta_rel,

@@ -60,8 +60,12 @@ def rate(c: str, digits: int = 8) -> Column:
     return plain(c, digits)
 
 
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.latest_period(fx.flow_table(spark, sf_dir))
+
+
 def _network(spark: SparkSession, sf_dir: str) -> network.Network:
-    return network.build_network(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    return network.build_network(_newest(spark, sf_dir))
 
 
 def _named(df: DataFrame, net: network.Network, *ends: str) -> DataFrame:
@@ -78,8 +82,7 @@ def _named(df: DataFrame, net: network.Network, *ends: str) -> DataFrame:
 
 @query
 def latest_period_flows(spark, sf_dir):
-    newest = flows.latest_period(fx.flow_table(spark, sf_dir))
-    return newest.select("time_period", "c_orig", "ind_ava", "c_dest", "ind_use", plain("value"))
+    return _newest(spark, sf_dir).select("time_period", "c_orig", "ind_ava", "c_dest", "ind_use", plain("value"))
 
 
 @query
@@ -90,12 +93,12 @@ def compact_flow_pairs(spark, sf_dir):
 
 @query
 def node_table(spark, sf_dir):
-    return network.node_table(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    return network.node_table(_newest(spark, sf_dir))
 
 
 @query
 def edge_table(spark, sf_dir):
-    compact = cut(flows.compact_flows(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD)))
+    compact = cut(flows.compact_flows(_newest(spark, sf_dir)))
     nodes = network.node_table(compact)
     return network.edge_table(compact, nodes).select("i", "j", "globsec", plain("z"))
 
@@ -109,7 +112,7 @@ def final_demand_output(spark, sf_dir):
 @query
 def detailed_network_output(spark, sf_dir):
     """Accounts of the larger network, whose sectors are type x brand."""
-    nodes = network.build_network(fx.detailed_flow_table(spark, sf_dir, fx.NETWORK_PERIOD)).nodes
+    nodes = network.build_network(flows.latest_period(fx.detailed_flow_table(spark, sf_dir))).nodes
     return nodes.select("node", "label", "globsec", plain("fd"), plain("z_row"), plain("z_col"), plain("x"))
 
 
@@ -134,7 +137,7 @@ def coefficients(spark, sf_dir):
 
 def _flows_with_shares(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Flows with shares, those between two given countries off by one percent, and the nodes."""
-    source = cut(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    source = cut(_newest(spark, sf_dir))
     nodes = cut(network.numbered(cut(network.account_sums(flows.compact_flows(source)))))
     off = (F.col("c_orig") == "NATION_1") & (F.col("c_dest") == "NATION_2")
     shared = fx.with_shares(source, nodes).withColumn(
@@ -169,13 +172,13 @@ def global_technology(spark, sf_dir):
 
 @query
 def sector_decoder(spark, sf_dir):
-    nodes = network.account_nodes(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    nodes = network.account_nodes(_newest(spark, sf_dir))
     return dims.sector_decoder(fx.code_dimension(spark, sf_dir), wanted=nodes)
 
 
 @query
 def node_names(spark, sf_dir):
-    nodes = network.account_nodes(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    nodes = network.account_nodes(_newest(spark, sf_dir))
     named = dims.decode_sectors(nodes, dims.sector_decoder(fx.code_dimension(spark, sf_dir)))
     decoded = dims.decode_countries(named, fx.country_dimension(spark, sf_dir))
     return decoded.select(node_label("country", "sector").alias("label"), "sector_name", "iso3", "country_name")
@@ -343,14 +346,14 @@ def sector_catalog(spark, sf_dir):
 
 @query
 def targeted_shocks(spark, sf_dir):
-    nodes = network.node_table(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))
+    nodes = network.node_table(_newest(spark, sf_dir))
     vectors = shocks.targeted_shocks(fx.scenarios(spark, fx.TARGETS), nodes)
     return vectors.select("scenario_id", "label", rate("sd"), rate("sp"))
 
 
 @query
 def flat_shocks(spark, sf_dir):
-    nodes = network.node_table(cut(flows.compact_flows(fx.flow_table(spark, sf_dir, fx.NETWORK_PERIOD))))
+    nodes = network.node_table(cut(flows.compact_flows(_newest(spark, sf_dir))))
     scalars = _scalars(spark, sf_dir).filter(F.col("level") == "extreme")
     vectors = shocks.flat_shocks(cut(scalars), nodes)
     return vectors.select("scenario_id", "label", rate("sd"), rate("sp", 10))
@@ -652,10 +655,16 @@ def links_strengthened(spark, sf_dir):
 
 @query
 def links_weakened_large_flows(spark, sf_dir):
-    top = linkage.top_links(_changes(spark, sf_dir, "Z", FLOW_DELTA), "weakened", k=15, min_baseline=20000.0)
+    top = linkage.top_links(_changes(spark, sf_dir, "Z", FLOW_DELTA), "weakened", 15, 20000.0, metric="Z")
     return top.select("rank", *LINK_COLS, *[money(c) for c in ("baseline", "final", "delta")], rate("delta_rel"))
 
 
+@query
+def links_weakened_min_baseline_a(spark, sf_dir):
+    top = linkage.top_links(_changes(spark, sf_dir, "A"), "weakened", min_baseline=0.5, metric="A")
+    return top.select("rank", *LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")])
+
+
 @query
 def links_combined(spark, sf_dir):
     changes = cut(_changes(spark, sf_dir, "A"))

@@ -68,6 +68,10 @@ def run(
     iteration.
     """
     check_controls(gamma, max_iter, tol)
+    inside = F.col("sd").between(0, 1) & F.col("sp").between(0, 1)
+    outside = shocks.agg(F.count_if(~F.coalesce(inside, F.lit(False)))).first()[0]
+    if outside:
+        raise ValueError(f"{outside} rows of shocks have sd or sp missing or outside [0, 1]")
     inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
     # Re-read every round; a lost executor's part is read again from the table.
     edges = network.edges.persist()

@@ -37,7 +37,7 @@ def _has(key: str) -> Column:
 
 def with_format(payloads: DataFrame) -> DataFrame:
     """Adds ``format``: ``sdmx``, ``jsonstat``, or ``error`` with a ``problem`` text."""
-    keys = F.array_join(F.slice(F.json_object_keys("body"), 1, 25), ", ")
+    keys = F.array_join(F.json_object_keys("body"), ", ")
     fmt = (
         F.when(_has("structure") & _has("dataSets"), "sdmx")
         .when(_has("dimension") & _has("value"), "jsonstat")
@@ -50,7 +50,24 @@ def with_format(payloads: DataFrame) -> DataFrame:
             F.concat(F.lit("unrecognised layout, keys: "), F.coalesce(keys, F.lit("none"))),
         ),
     )
-    return payloads.withColumn("format", fmt).withColumn("problem", problem)
+    fault = F.when(F.col("format") == "jsonstat", _grid_fault())
+    tagged = payloads.withColumn("format", fmt).withColumn("problem", F.coalesce(problem, fault))
+    return tagged.withColumn("format", F.when(F.col("problem").isNull(), F.col("format")).otherwise("error"))
+
+
+def _grid_fault() -> Column:
+    """What keeps a json-stat body from being decoded, NULL if nothing does."""
+    raw = F.get_json_object("body", "$.value")
+    sizes = F.from_json(F.get_json_object("body", "$.size"), "array<int>")
+    dims = F.from_json(F.get_json_object("body", "$.dimension"), DIMENSIONS_SCHEMA)
+    ids = F.coalesce(F.from_json(F.get_json_object("body", "$.id"), "array<string>"), F.map_keys(dims))
+    codes = F.transform(ids, lambda d: F.size(_dimension_codes(dims[d]["category"])))
+    short = F.exists(F.arrays_zip(codes.alias("n"), sizes.alias("size")), lambda c: F.coalesce(c["n"], F.lit(-1)) < c["size"])
+    return (
+        F.when(~(raw.startswith("{") | raw.startswith("[")), "values are neither a list nor a map")
+        .when(F.coalesce(F.size(sizes) != F.size(ids), F.lit(True)), "sizes do not match the dimensions")
+        .when(short, "a dimension has fewer codes than its size")
+    )
 
 
 def quarantined(payloads: DataFrame) -> DataFrame:
@@ -109,6 +126,7 @@ def jsonstat_to_long(payloads: DataFrame) -> DataFrame:
 
     grid = (
         parsed.withColumn("strides", F.transform("sizes", lambda s, k: stride(k)))
+        .filter(cells_total > 0)
         .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), cells_total - 1)))
         .select(
             "payload_id",

@@ -9,14 +9,17 @@ from pyspark.errors import AnalysisException
 
 
 def materialise(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if an earlier run wrote it, else compute and write it."""
+    """Read ``path`` if an earlier run wrote it, else compute and write it.
+
+    A folder without data, as a crashed run leaves it, is written over.
+    """
     try:
         return spark.read.parquet(path)
     except AnalysisException as err:
         if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     df = compute()
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,7 @@ def expected(values, zeros, q):
     return full[int(np.round((len(full) - 1) * q))]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_against_sorted_values(spark, small):
+def test_against_sorted_values(spark):
     rng = np.random.default_rng(7)
     groups = {
         "spread": (np.exp(rng.normal(0, 8, 700)), 0),
@@ -25,7 +24,7 @@ def test_against_sorted_values(spark, small):
     rows = [(g, float(v)) for g, (vs, _) in groups.items() for v in vs]
     values = spark.createDataFrame(rows, "g string, v double").repartition(5)
     zeros = spark.createDataFrame([(g, z) for g, (_, z) in groups.items()], "g string, n_zeros long")
-    got = nearest_quantiles(values, ["g"], "v", QS, zeros, small_groups=small).collect()
+    got = nearest_quantiles(values, ["g"], "v", QS, zeros).collect()
     assert len(got) == len(groups) * len(QS)
     for r in got:
         vs, z = groups[r["g"]]

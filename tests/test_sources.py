@@ -122,3 +122,23 @@ def test_csv_tables_and_export(spark, tmp_path):
     output = spark.createDataFrame([("B", 1, 1.0), ("A", 2, 2.0), ("A", 1, 3.0)], "geo string, year int, output_mn_eur double")
     sinks.export_output_series(output.coalesce(1), str(tmp_path / "series"), "parquet")
     assert [(r["geo"], r["year"]) for r in spark.read.parquet(str(tmp_path / "series")).collect()] == [("A", 1), ("A", 2), ("B", 1)]
+
+
+def test_a_crashed_write_is_written_over(spark, tmp_path):
+    path = tmp_path / "half"
+    path.mkdir()
+    (path / "_temporary").mkdir()
+    assert sinks.materialise(spark, str(path), lambda: spark.range(3)).count() == 3
+    assert sinks.materialise(spark, str(path), lambda: spark.range(9)).count() == 3
+
+
+def test_empty_and_undecodable_grids(spark):
+    grid = '{"id": ["geo"], "size": [%s], "dimension": {"geo": {"category": {%s}}}, "value": %s}'
+    codes = '"index": {"IT": 0}'
+    rows = [
+        ("empty", grid % ("0", '"index": {}', "[]")), ("fine", grid % ("1", codes, "[2.5]")), ("scalar", grid % ("1", codes, "7")),
+        ("codeless", grid % ("1", "", "[1]")), ("sizes", grid % ("1, 1", codes, "[1]")),
+    ]
+    payloads = spark.createDataFrame(rows, "payload_id string, body string")
+    assert [(r["payload_id"], r["value"]) for r in cube.payloads_to_long(payloads).collect()] == [("fine", 2.5)]
+    assert {r["payload_id"] for r in cube.quarantined(payloads).collect()} == {"scalar", "codeless", "sizes"}

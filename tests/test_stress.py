@@ -207,6 +207,8 @@ def test_small_baseline_mask(spark):
     )
     top = linkage.top_links(links, "weakened", k=2, min_baseline=10.0).orderBy("rank").collect()
     assert [(r["i"], r["delta"], r["delta_rel"]) for r in top] == [(1, -1.0, -0.02), (0, 0.0, -0.8)]
+    top = linkage.top_links(links, "weakened", k=2, min_baseline=10.0, metric="A").orderBy("rank").collect()
+    assert [(r["i"], r["baseline"], r["delta"]) for r in top] == [(0, 5.0, -4.0), (1, 50.0, -1.0)]
 
 
 def test_given_value_added_and_employment(spark, net):
@@ -220,6 +222,10 @@ def test_arguments_are_checked(spark, net):
     for bad in ({"gamma": 1.5}, {"max_iter": 0}, {"tol": 0.0}):
         with pytest.raises(ValueError):
             stress.run(net, None, **bad)
+    for sp in (1.7, -0.1, None):
+        given = net.nodes.select(F.lit("s").alias("scenario_id"), "node", F.lit(0.0).alias("sd"), F.lit(sp).cast("double").alias("sp"))
+        with pytest.raises(ValueError, match="outside"):
+            stress.run(net, given)
     with pytest.raises(ValueError, match="gamma"):
         propagate.step(net.edges, None, -0.1)
     with pytest.raises(ValueError, match="coefficients"):

@@ -45,8 +45,8 @@ SAMPLE_DOCS = 1000
 SAMPLE_IDS = 2048
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-#: Pieces a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces, and words in them, that a worker remembers before it starts anew.
+REMEMBERED = 800_000
 TAIL = b".,!?;:#$%&*|"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_ids", "<u4")])
 MANIFEST = "shard int, path string, documents long, ids long, bytes long"
@@ -61,6 +61,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def parts(piece: bytes) -> tuple[bytes, bytes]:
@@ -74,12 +75,14 @@ class Encoder:
 
     def learn(self, pieces: set[bytes]) -> None:
         split = {p: self.parts(p) for p in pieces}
-        new = [p for p in {x for pair in split.values() for x in pair} if p and p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.known[p] = array("I", e.ids).tobytes()  # little-endian on all that Spark runs on
+        new = [c for c in {x for pair in split.values() for x in pair} if c not in self.cores]
+        if len(self.cores) + len(new) > REMEMBERED:
+            self.cores = {b"": b""}
+            new = list({x for pair in split.values() for x in pair} - {b""})
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
+            self.cores[c] = array("I", e.ids).tobytes()  # little-endian on all that Spark runs on
         for p, (core, tail) in split.items():
-            if p not in self.known:
-                self.known[p] = self.known[core] + (self.known[tail] if tail else b"")
+            self.known[p] = self.cores[core] + self.cores[tail]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         pieces = [t.split() for t in texts]

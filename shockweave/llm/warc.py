@@ -1,8 +1,8 @@
 """Deterministic sharded WARC files.
 
-Records are sorted by page_id; the shard of a record is its running payload size over the
-shard size, so it does not depend on partitions or attempts. Inside a shard files roll by
-compressed size. Headers, record ids and digests are made anew from the payload. Tasks
+Records are sorted by page_id and digest; shards begin where the running size of all records
+passes a multiple of the shard size, so they do not depend on partitions or attempts. Inside
+a shard files roll by compressed size. Headers, record ids and digests are made anew from the payload. Tasks
 write under temporary names; the files of the committed tasks are then given their final
 names and listed in a manifest table, so a lost executor leaves at worst a stray temporary
 file.
@@ -23,20 +23,24 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.llm.files import moved, opened, put
-from shockweave.llm.tables import running_totals
+from shockweave.llm.tables import running_totals, slices
 from shockweave.storage import cut, fresh_path
 
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
+#: Shards grow instead of becoming more than these; a record's headers count as so many bytes.
+MOST_SHARDS = 1 << 18
+HEAD_BYTES = 512
 #: Fixed values of the format.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,31 +63,71 @@ def record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(text.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    sha1 = digest(payload)
-    fields = {"WARC-Record-ID": record_id(page_id, sha1), "WARC-Payload-Digest": f"sha1:{sha1}"}
+def page_record(
+    page_id: int | None, url: str | None, sha1: bytes, size: int, payload: bytes | None, refers_to: int | None
+) -> bytes:
+    """The response with ``payload``, or without one the revisit of the response of page ``refers_to``."""
+    name, revisit = base64.b32encode(sha1).decode(), payload is None
+    fields = {"WARC-Record-ID": record_id(page_id, name), "WARC-Payload-Digest": f"sha1:{name}"}
     if page_id is not None:
         fields["X-Page-Id"] = str(page_id)
     if url is not None:
         fields["WARC-Target-URI"] = re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url)
     if revisit:
-        fields |= {"WARC-Refers-To": record_id(refers_to, sha1), "X-Refers-To-Page-Id": str(refers_to), "WARC-Profile": PROFILE}
+        fields |= {"WARC-Refers-To": record_id(refers_to, name), "X-Refers-To-Page-Id": str(refers_to), "WARC-Profile": PROFILE}
     fields["Content-Type"] = "application/http; msgtype=response"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    return record("revisit" if revisit else "response", fields, http if revisit else http + payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    return record("revisit" if revisit else "response", fields, http + (payload or b""))
+
+
+def places(page_ids: pa.Array, sha1s: pa.Array) -> np.ndarray:
+    """Keys in the order of page_id, null first, then of the digest's first bytes."""
+    ids = page_ids.fill_null(-(1 << 63)).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+    heads = np.frombuffer(b"".join(x[:8] for x in sha1s.to_pylist()), np.uint8).reshape(-1, 8)
+    return np.concatenate([ids.astype(">u8").view(np.uint8).reshape(-1, 8), heads], 1).view("S16").ravel()
+
+
+ROUTED = "shard int, page_id long, sha1 binary, page boolean, refers_to long, url string, size long, record binary"
+
+
+def _routed(bounds):
+    """Each row's shard; of pages also the record as a response, compressed before it travels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload"):
+            page_ids, sha1s = batch.column("page_id"), batch.column("sha1")
+            shards = np.searchsorted(bounds.value, places(page_ids, sha1s), "right") - 1
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "size", "payload")]
+            made = [None if row[-1] is None else page_record(*row, None) for row in zip(*columns)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.maximum(shards, 0).astype(np.int32)), page_ids, sha1s, batch.column("payload").is_valid(),
+                    batch.column("refers_to"), batch.column("url"), batch.column("size"), pa.array(made, pa.binary()),
+                ],
+                ["shard", "page_id", "sha1", "page", "refers_to", "url", "size", "record"],
+            )
+
+    return run
 
 
 def _written(folder: str, roll: int):
+    """Files of the rows of a shard, sorted; what pages revisit comes before them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows, now, at, n = None, [], None, 0, 0
+        out, rows, now, at, n, told, other = None, [], None, 0, 0, None, None
 
         def close():
             out.close()
             rows.append({"temporary": now[2], "final": now[3], "records": n, "bytes": at})
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "refers_to", "revisit")]
-            for shard, page_id, url, payload, refers_to, revisit in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("shard", "page_id", "sha1", "page", "refers_to", "url", "size", "record")]
+            for shard, page_id, sha1, page, refers_to, url, size, data in zip(*columns):
+                if not page:
+                    told, other = (page_id, sha1), refers_to
+                    continue
+                if told == (page_id, sha1):
+                    data = page_record(page_id, url, sha1, size, None, other)
                 if out is None or now[0] != shard or at >= roll:
                     part = 0 if now is None or now[0] != shard else now[1] + 1
                     if out is not None:
@@ -95,7 +139,7 @@ def _written(folder: str, roll: int):
                     about = f"software: shockweave\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
                     info = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", "WARC-Filename": name, "Content-Type": "application/warc-fields"}
                     at, n = out.write(record("warcinfo", info, about)), 0
-                at += out.write(page_record(page_id, url, payload, refers_to, revisit))
+                at += out.write(data)
                 n += 1
         if out is not None:
             close()
@@ -123,20 +167,28 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"sha1": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
-    rows = running_totals(rows, ["page_id", "url", "sha1"], {"size": "start"}, parts)
+    # Order, shards and revisits are settled without payloads, which travel once.
+    weighed = rows.select("page_id", "sha1", "size", (F.col("size") + HEAD_BYTES).alias("weight"))
+    light = cut(running_totals(weighed, ["page_id", "sha1"], {"weight": "start"}, parts))
+    total = light.agg(F.sum("weight")).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    first = F.min(F.struct("start", "page_id", "sha1")).alias("first")
+    begins = light.groupBy(F.expr(f"start div {shard_bytes}").alias("shard")).agg(first).orderBy("shard").select("first.*").toArrow()
+    bounds = np.sort(np.concatenate([places(b.column("page_id"), b.column("sha1")) for b in begins.to_batches()] or [np.zeros(0, "S16")]))
+    shared = spark.sparkContext.broadcast(bounds)  # 16 bytes a shard, MOST_SHARDS and one at most
     copies = (
-        rows.where(F.col("size") >= min_bytes).groupBy("sha1")
+        light.where(F.col("size") >= min_bytes).groupBy("sha1")
         .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-        .where("n > 1").select("sha1", "refers_to")
+        .where("n > 1 and refers_to is not null").select("sha1", "refers_to")
     )
-    rows = rows.join(copies, "sha1", "left").withColumn(
-        "revisit", F.expr(f"size >= {min_bytes} and refers_to is not null and not (page_id <=> refers_to)")
+    named = ["page_id", "sha1", "refers_to", "url", "size", "payload"]
+    revisits = (
+        light.select("page_id", "sha1").join(copies, "sha1").where("not (page_id <=> refers_to)").distinct()
+        .selectExpr("page_id", "sha1", "refers_to", "string(null) as url", "bigint(null) as size", "binary(null) as payload")
     )
-    placed = (
-        rows.withColumn("shard", F.expr(f"int(start div {shard_bytes})"))
-        .repartition(parts, "shard")
-        .sortWithinPartitions("shard", "page_id", "url", "sha1")
-        .select("shard", "page_id", "url", "payload", "refers_to", "revisit")
+    records = rows.withColumn("refers_to", F.lit(None).cast("long")).select(named).unionByName(revisits)
+    placed = records.mapInArrow(_routed(shared), ROUTED).repartition(parts, "shard").sortWithinPartitions(
+        "shard", "page_id", "sha1", "page", "url"
     )
     written = cut(placed.mapInArrow(_written(folder, roll_bytes), "temporary string, final string, records long, bytes long"))
     return cut(written.repartition(parts).mapInArrow(_committed, "path string, records long, bytes long"))

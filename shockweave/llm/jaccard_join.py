@@ -41,7 +41,7 @@ SALTS = 64
 SHORT = 16
 PERCENT = 80
 
-SIGNATURE = "doc_id long, n int, cls long, block int, cells binary"
+SIGNATURE = "doc_id long, key long, n int, cls long, block int, cells binary"
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -62,19 +62,20 @@ def _signatures(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([_class_of(s) for s in sets], pa.int64()),
                     pa.array(none, pa.int32()),
                     pa.array(none, pa.binary()),
                 ],
-                ["doc_id", "n", "cls", "block", "cells"],
+                ["doc_id", "key", "n", "cls", "block", "cells"],
             )
         for k in range(CELLS // BLOCK if any_row else 0):
             row = cells[k * BLOCK : (k + 1) * BLOCK].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64())]
+                [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
                 + [pa.array([k], pa.int32()), pa.array([row], pa.binary())],
-                ["doc_id", "n", "cls", "block", "cells"],
+                ["doc_id", "key", "n", "cls", "block", "cells"],
             )
 
     return run
@@ -179,8 +180,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Data
     """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
     signed = cut(docs.mapInArrow(_signatures(size), SIGNATURE))
-    rows = signed.where("block is null").select("doc_id", "n", "cls")
+    rows = signed.where("block is null").select("doc_id", "key", "n", "cls")
     levels = spark.sparkContext.broadcast(list_lengths(signed))
 
     by_shingle = Window.partitionBy("h")
@@ -215,11 +217,16 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Data
     members = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
 
     def linked(candidates: DataFrame) -> DataFrame:
-        """The candidates that reach the threshold; their texts are read again by doc_id."""
+        """The candidates that reach the threshold; one text of each class is read again.
+
+        It is found by doc_id and hash, as an id may be null or stand for several texts.
+        """
         candidates = cut(candidates.distinct())
         wanted = candidates.select(F.col("a").alias("cls")).unionByName(candidates.select(F.col("b").alias("cls")))
-        named = rows.join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        sets = cut(docs.join(named, "doc_id").dropDuplicates(["cls"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary"))
+        one = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("one")
+        named = rows.join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(one).select("cls", "one.doc_id", "one.key")
+        named = named.withColumnsRenamed({"doc_id": "named_id", "key": "named_key"})
+        sets = cut(docs.join(named, F.expr("key = named_key and doc_id <=> named_id")).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary"))
         left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right"))
         return candidates.join(left, "a").join(right, "b").mapInArrow(_probed(percent), "a long, b long")

@@ -11,7 +11,8 @@ streams all documents through tasks with the fitted weights, a few kilobytes.
 Defined results: a null or empty text is one passage without characters and gets a score
 like any other; with no labels, or of one kind only, the score is their smoothed share; a
 null doc_id is not held out and has no label; a label row with null doc_id or quality is
-left out, of several for a document the largest counts; repeated rows get equal scores;
+left out, of several for a document the largest counts; of several rows of an id one is
+learned from; repeated rows get equal scores;
 other columns are not read.
 """
 
@@ -193,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
         .join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows at most
         .select("_hash", "text", "_label")
         .mapInArrow(_bags, "h long, bag binary, label int")
+        .groupBy("h").agg(F.min("bag").alias("bag"), F.max("label").alias("label"))  # an id may have any number of rows
         .collect()
     )
     rows.sort(key=lambda r: (r.h, bytes(r.bag)))

@@ -59,6 +59,18 @@ def test_jaccard_components(spark, monkeypatch, short):
     assert none_last(got) == none_last(brute_components(cases.rows()))
 
 
+def test_jaccard_ids_missing_or_shared(spark):
+    rng = random.Random(12)
+    data = []
+    for k in range(12):
+        w = cases.words(rng, 60)
+        left, middle, right = " ".join(["x1", *w]), " ".join(w), " ".join([*w, "x2"])
+        # Links through rows without id, and an id that stands for several texts.
+        data += [(10 * k, left, "en", "s", 0), (None, middle, "en", "s", 0), (10 * k + 1, right, "en", "s", 0), (7, left + " x3", "en", "s", 0)]
+    got = [tuple(r) for r in jaccard_join.jaccard_join(cases.docs(spark, data=data)).collect()]
+    assert none_last(got) == none_last(brute_components(data))
+
+
 def test_jaccard_keeps_one(spark):
     got = jaccard_join.one_of_each(cases.docs(spark, extra=True))
     expected = {d for d, _, c in brute_components(cases.rows()) if d == c and d is not None}

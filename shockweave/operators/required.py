@@ -6,65 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import zero_if_null
-from shockweave.storage import broadcast_limit, settle
+from shockweave.storage import settle
 
 CHUNK = 6
-VECTOR_ROW_BYTES = 32
-WORTH_KEEPING = 1_000_000
 
 
-def keeps_edges(edges: DataFrame, vector_rows: int, pulled_rows: int) -> bool:
-    """Whether rounds should broadcast the vector and leave the edges in place.
+def pull(edges: DataFrame, vector: DataFrame) -> DataFrame:
+    """Edge contributions to ``A vector``, not yet added up per node.
 
-    ``vector_rows`` are counted and must fit the session's broadcast limit.
-    It pays once a round yields many edge contributions: edges in place keep
-    their (i, j) blocks, whose partial sums are few. Otherwise both sides are
-    shuffled, where AQE splits skewed users.
+    Spark picks the join by the vector's measured size; a skewed user is split by AQE.
     """
-    fits = vector_rows * VECTOR_ROW_BYTES <= broadcast_limit(edges.sparkSession)
-    return fits and pulled_rows >= WORTH_KEEPING
-
-
-def pull(edges: DataFrame, vector: DataFrame, in_place: bool = False) -> DataFrame:
-    """Edge contributions to ``A vector``, not yet added up per node."""
-    vector = vector.withColumnRenamed("node", "j")
-    if in_place:
-        vector = F.broadcast(vector)
-    return edges.select("i", "j", "a").join(vector, "j").select(
+    return edges.select("i", "j", "a").join(vector.withColumnRenamed("node", "j"), "j").select(
         "scenario_id", F.col("i").alias("node"), (F.col("a") * F.col("v")).alias("v")
     )
 
 
-def one_round(edges: DataFrame, start: DataFrame, current: DataFrame, in_place: bool = False) -> DataFrame:
+def one_round(edges: DataFrame, start: DataFrame, current: DataFrame) -> DataFrame:
     """``start + A current`` for ``(scenario_id, node, v)`` tables.
 
     The constant part and the edge contributions go into one aggregation of
-    partial sums. ``in_place`` is the answer of ``keeps_edges``.
+    partial sums.
     """
-    parts = start.unionByName(pull(edges, current, in_place))
+    parts = start.unionByName(pull(edges, current))
     return parts.groupBy("scenario_id", "node").agg(F.sum("v").alias("v"))
 
 
-def rounds(
-    edges: DataFrame, start: DataFrame, steps: int, in_place: bool = False, current: DataFrame | None = None
-) -> DataFrame:
+def rounds(edges: DataFrame, start: DataFrame, steps: int, current: DataFrame | None = None) -> DataFrame:
     """``sum of A^k start`` for k = 0..steps, lineage cut every few rounds.
 
     ``current`` continues from an earlier sum instead of from ``start``.
     """
     current = start if current is None else current
     for k in range(1, steps + 1):
-        current = one_round(edges, start, current, in_place)
+        current = one_round(edges, start, current)
         if k % CHUNK == 0 and k < steps:
             current = settle(current)
     return current
 
 
-def residual(edges: DataFrame, state: DataFrame, in_place: bool = False) -> DataFrame:
+def residual(edges: DataFrame, state: DataFrame) -> DataFrame:
     """``fd + A x - x`` for the guess ``x`` held in column ``xdem`` of ``state``."""
     guess = state.select("scenario_id", "node", F.col("xdem").alias("v"))
     gap = state.select("scenario_id", "node", (F.col("fd") - F.col("xdem")).alias("v"))
-    return one_round(edges, gap, guess, in_place)
+    return one_round(edges, gap, guess)
 
 
 def shrink_ratio(edges: DataFrame, nodes: DataFrame) -> float:
@@ -105,7 +89,6 @@ def solve(
     scale: float,
     tol: float,
     ratio: float,
-    in_place: bool = False,
     maybe_done: bool = False,
     max_rounds: int = 600,
 ) -> DataFrame:
@@ -123,10 +106,10 @@ def solve(
     lift = ratio / (1 - ratio) if 0 < ratio < 0.95 else 0.0
     current = start
     for _ in range(0, max_rounds, CHUNK + 1):
-        before = settle(rounds(edges, start, CHUNK - 1, in_place, current))
-        pair = _beside(one_round(edges, start, before, in_place), before)
+        before = settle(rounds(edges, start, CHUNK - 1, current))
+        pair = _beside(one_round(edges, start, before), before)
         lifted = pair.select("scenario_id", "node", (F.col("v") + (F.col("v") - F.col("old")) * lift).alias("v"))
-        tested = settle(_beside(one_round(edges, start, lifted, in_place), lifted))
+        tested = settle(_beside(one_round(edges, start, lifted), lifted))
         current = tested.select("scenario_id", "node", "v")
         if _worst(tested) < tol * scale:
             return current

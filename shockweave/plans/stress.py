@@ -79,21 +79,17 @@ def run(
     node_rows, scale = max(1, sizes[0]), sizes[1] or 1.0
 
     state = cut(propagate.initial_state(network.nodes, shocks).withColumn("xdem", F.col("x0")))
-    rows = state.count()
-    active = rows // node_rows
-    in_place = required.keeps_edges(edges, rows, edges.count() * active)
+    active = state.count() // node_rows
     ratio = required.shrink_ratio(edges, network.nodes) if inner_rounds is None else 0.0
-    change = settle(required.residual(edges, state, in_place))
+    change = settle(required.residual(edges, state))
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
     seen: list[DataFrame] = []
     for iteration in range(1, max_iter + 1):
         if inner_rounds is None:
-            correction = required.solve(
-                edges, change, scale, inner_tol, ratio, in_place, maybe_done=iteration == 1
-            )
+            correction = required.solve(edges, change, scale, inner_tol, ratio, maybe_done=iteration == 1)
         else:
-            correction = settle(required.rounds(edges, change, inner_rounds, in_place))
+            correction = settle(required.rounds(edges, change, inner_rounds))
         stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma, noise))
         gap = demand_gap(stepped).withColumn("iteration", F.lit(iteration))
         gaps.append(gap)

@@ -44,14 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes the session allows on the broadcast side of a join; 0 if it is switched off."""
-    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
-    digits = text.rstrip("bkmgti")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[len(digits):][:1], 1)
-    return max(0, int(float(digits) * unit))
-
-
 def settle(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 

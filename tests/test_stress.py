@@ -129,9 +129,8 @@ def test_required_output(spark, net, economy):
     start = net.nodes.select(F.lit("s").alias("scenario_id"), "node", (F.col("fd") * 0.5).alias("v"))
     ratio = required.shrink_ratio(net.edges, net.nodes)
     assert ratio == pytest.approx(max(abs(np.linalg.eigvals(z / x))), rel=0.05)
-    for in_place in (False, True):
-        got = required.solve(net.edges, start, float(x.sum()), 1e-12, ratio, in_place)
-        np.testing.assert_allclose([r["v"] for r in got.orderBy("node").collect()], x / 2, rtol=1e-9)
+    got = required.solve(net.edges, start, float(x.sum()), 1e-12, ratio)
+    np.testing.assert_allclose([r["v"] for r in got.orderBy("node").collect()], x / 2, rtol=1e-9)
 
 
 def test_unbounded_coefficients_are_reported(spark, net):

@@ -10,29 +10,25 @@ producer ``i`` and user ``j`` of a sector is ``share_i * delivered_j`` with
 shares that sum to 1, so row sums, column sums and sector sums follow from the
 two factors; the pairs are written out once, for the final tables.
 
-Differences below ``noise`` times their own scale are rounding residue of the
-subtraction and count as 0.
+What a node or edge lacks or has left over is plainly ``max(difference, 0)``, with
+each difference arranged so that it is exactly 0 where no shock reaches:
+baseline output is ``z_row + fd0`` and a derived coefficient ``z / x0``, so
+amounts are scaled by ``xdem / x0`` and ``1 - sp`` instead of subtracted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import floor_zero, ratio, zero_if_null
 from shockweave.storage import cut
 
-NOISE = 1e-9
 # Producers of one sector are copied this many times when pairs are written
 # out, so that one hot (scenario, sector) is split over as many tasks.
 PAIR_SALTS = 16
 
 
-def _above_noise(diff: Column, scale: Column, noise: float) -> Column:
-    """``max(diff, 0)``, with residue below ``noise * |scale|`` removed."""
-    return F.when(diff > F.lit(noise) * F.abs(scale), diff).otherwise(F.lit(0.0))
-
-
 def initial_state(nodes: DataFrame, shocks: DataFrame) -> DataFrame:
     """Capacity ``x (1 - sp)`` and demand ``fd (1 - sd)`` per scenario and node."""
     return shocks.join(
@@ -53,7 +49,8 @@ def initial_state(nodes: DataFrame, shocks: DataFrame) -> DataFrame:
 
 def with_rationing(state: DataFrame) -> DataFrame:
     """Adds ``r = min(1, cap / xdem)``, 1 where nothing is demanded."""
-    r = F.when(F.col("xdem") > 0, F.least(F.lit(1.0), F.try_divide("cap", "xdem"))).otherwise(F.lit(1.0))
+    covered = (1 - F.col("sp")) * F.try_divide("x0", "xdem")
+    r = F.when(F.col("xdem") > 0, F.least(F.lit(1.0), covered)).otherwise(F.lit(1.0))
     return state.withColumn("r", r)
 
 
@@ -73,31 +70,42 @@ def bottlenecks(edges: DataFrame, rationed: DataFrame) -> DataFrame:
     )
 
 
-def with_factors(rationed: DataFrame, bottleneck: DataFrame, noise: float = NOISE) -> DataFrame:
+def with_factors(rationed: DataFrame, bottleneck: DataFrame) -> DataFrame:
     """Adds ``s``, the row factor ``min(s, 1 - sp)`` and the producer's inventory.
 
-    Inventory is capacity beyond demand and constrained sales; the sales are
-    the baseline row sum times the row factor, so no edge is read for it.
+    Inventory is capacity beyond demand and constrained sales, ``cap - fd -
+    row_factor * z_row``; it is what constraints leave of intermediate sales
+    and of final demand, so no edge is read for it.
     """
     factored = rationed.join(bottleneck, ["scenario_id", "node"], "left").withColumn(
         "s", F.coalesce("s", F.lit(1.0))
     )
     factored = factored.withColumn("row_factor", F.least(F.col("s"), 1 - F.col("sp")))
-    left_over = F.col("cap") - F.col("fd") - F.col("row_factor") * F.col("z_row")
-    return factored.withColumn("inv", _above_noise(left_over, F.col("cap"), noise))
+    unsold = F.col("z_row") * (1 - F.col("sp") - F.col("row_factor"))
+    undemanded = F.col("fd0") * (1 - F.col("sp")) - F.col("fd")
+    return factored.withColumn("inv", floor_zero(unsold + undemanded))
+
 
+def edge_flows(edges: DataFrame, factored: DataFrame) -> DataFrame:
+    """``(scenario_id, i, j, globsec, z, t, con, need, base, unmet)`` on baseline edges.
 
-def edge_flows(edges: DataFrame, factored: DataFrame, noise: float = NOISE) -> DataFrame:
-    """``(scenario_id, i, j, globsec, z, t, con, need, base, unmet)`` on baseline edges."""
+    ``need`` is ``a * xdem``; of a derived coefficient that is ``z`` times the
+    change of the user's output.
+    """
     producers = factored.select("scenario_id", F.col("node").alias("i"), "row_factor")
-    users = factored.select("scenario_id", F.col("node").alias("j"), "xdem")
-    con, need = F.col("z") * F.col("row_factor"), F.col("a") * F.col("xdem")
+    users = factored.select("scenario_id", F.col("node").alias("j"), "xdem", "x0")
+    derived = (F.col("a") == F.col("t")) & (F.col("x0") != 0)
+    change = F.try_divide("xdem", "x0")
+    con = F.col("z") * F.col("row_factor")
+    need = F.when(derived, F.col("z") * change).otherwise(F.col("a") * F.col("xdem"))
+    short = F.when(derived, F.col("z") * (change - F.col("row_factor"))).otherwise(F.col("a") * F.col("xdem") - con)
     return (
         edges.join(producers, "i")
         .join(users, ["scenario_id", "j"])
-        .select("scenario_id", "i", "j", "globsec", "z", "t", con.alias("con"), need.alias("need"))
-        .withColumn("base", F.least("con", "need"))
-        .withColumn("unmet", _above_noise(F.col("need") - F.col("con"), F.col("need"), noise))
+        .select(
+            "scenario_id", "i", "j", "globsec", "z", "t",
+            con.alias("con"), need.alias("need"), F.least(con, need).alias("base"), floor_zero(short).alias("unmet"),
+        )
     )
 
 
@@ -197,13 +205,13 @@ def with_feasible_output(reallocated: DataFrame, feasibility: DataFrame) -> Data
     )
 
 
-def factored_state(edges: DataFrame, state: DataFrame, noise: float = NOISE) -> DataFrame:
+def factored_state(edges: DataFrame, state: DataFrame) -> DataFrame:
     """State with rationing, bottleneck, row factor and inventory."""
     rationed = with_rationing(state)
-    return with_factors(rationed, bottlenecks(edges, rationed), noise)
+    return with_factors(rationed, bottlenecks(edges, rationed))
 
 
-def step(edges: DataFrame, state: DataFrame, gamma: float, noise: float = NOISE) -> DataFrame:
+def step(edges: DataFrame, state: DataFrame, gamma: float) -> DataFrame:
     """State after one step, one row per (scenario_id, node).
 
     The two joins of edges with scenarios are jobs of their own; what follows
@@ -211,8 +219,8 @@ def step(edges: DataFrame, state: DataFrame, gamma: float, noise: float = NOISE)
     """
     if not 0.0 <= gamma <= 1.0:
         raise ValueError(f"gamma must be in [0, 1], not {gamma}")
-    factored = cut(factored_state(edges, state, noise))
-    sums = cut(edge_sums(edge_flows(edges, factored, noise)))
+    factored = cut(factored_state(edges, state))
+    sums = cut(edge_sums(edge_flows(edges, factored)))
     inputs = inputs_by_sector(sums)
     balance = sector_balance(factored, inputs, gamma)
     return with_feasible_output(
@@ -263,13 +271,13 @@ def reallocated_pairs(stepped: DataFrame, supply: DataFrame) -> DataFrame:
     )
 
 
-def reallocated_edges(edges: DataFrame, stepped: DataFrame, gamma: float, noise: float = NOISE) -> DataFrame:
+def reallocated_edges(edges: DataFrame, stepped: DataFrame) -> DataFrame:
     """``(scenario_id, i, j, z0, z1)``: baseline and new flow of every edge with either.
 
     ``stepped`` is the output of ``step``. Base flows and deliveries are two
     contributions to one sum, which also aligns baseline and final edges.
     """
-    flows = edge_flows(edges, stepped, noise)
+    flows = edge_flows(edges, stepped)
     balance = stepped.select("scenario_id", "globsec", "frac").distinct()
     inputs = inputs_by_sector(edge_sums(flows))
     added = reallocated_pairs(stepped, sector_supply(inputs, balance))

@@ -7,9 +7,13 @@ one it needs and everything before it is prepended.
 from __future__ import annotations
 
 from shockweave.plans.fixtures import BASE_YEAR, HAZARD_OF_PRIORITY, MIN_YEARS, USER_SECTORS, YEARS
-from shockweave.plans.registry import BOUNDS, DISPLAY_RATE, FLOW_DELTA, GAMMA
 
-NOISE = "1e-9"
+# Stated here, not taken from the queries: units of the answers, delivered part
+# of covered needs, map bounds, smallest change of a link that counts.
+DISPLAY_RATE = 1.95583
+GAMMA = 0.5
+BOUNDS = (5.0, 40.0, 950.0, 1500.0)
+MIN_DELTA = "1e-12"
 
 
 def money(c: str, digits: int = 2, name: str | None = None) -> str:
@@ -221,14 +225,14 @@ def _ctes() -> list[tuple[str, str]]:
     add("by_sector", f"""
         SELECT i.scenario_id, i.sector, coalesce(d.sector_name, i.sector) AS sector_name, {sums}
         FROM impacts i LEFT JOIN decoder d ON d.sector = i.sector GROUP BY ALL""")
-    for metric, base, after, eps in (
-        ("a", "CASE WHEN u.x0 <> 0 THEN e.z0 / u.x0 ELSE 0.0 END", "CASE WHEN u.xs <> 0 THEN e.z1 / u.xs ELSE 0.0 END", "1e-12"),
-        ("z", "e.z0", "e.z1", str(FLOW_DELTA)),
+    for metric, base, after in (
+        ("a", "CASE WHEN u.x0 <> 0 THEN e.z0 / u.x0 ELSE 0.0 END", "CASE WHEN u.xs <> 0 THEN e.z1 / u.xs ELSE 0.0 END"),
+        ("z", "e.z0", "e.z1"),
     ):
         add(f"changes_{metric}", f"""
             SELECT q.scenario_id, q.i, q.j, ni.label AS i_label, nj.label AS j_label, q.baseline, q.final, q.delta,
                    CASE WHEN q.baseline <> 0 THEN q.delta / q.baseline ELSE 0.0 END AS delta_rel
-            FROM (SELECT *, CASE WHEN abs(final - baseline) > {eps} THEN final - baseline ELSE 0.0 END AS delta
+            FROM (SELECT *, CASE WHEN abs(final - baseline) > {MIN_DELTA} THEN final - baseline ELSE 0.0 END AS delta
                   FROM (SELECT e.scenario_id, e.i, e.j, {base} AS baseline, {after} AS final
                         FROM new_edges e JOIN stepped u ON u.scenario_id = e.scenario_id AND u.node = e.j)) q
             JOIN ids ni ON ni.node = q.i JOIN ids nj ON nj.node = q.j""")
@@ -334,16 +338,15 @@ def _rounds(prefix: str, steps: int) -> list[tuple[str, str]]:
 def _step(p: str, state: str) -> list[tuple[str, str]]:
     """One propagation step from ``state``; the result is ``<p>stepped``."""
     return [
-        (f"{p}rationed", f"SELECT *, CASE WHEN xdem > 0 THEN least(1.0, cap / xdem) ELSE 1.0 END AS r FROM {state}"),
+        (f"{p}rationed", f"SELECT *, CASE WHEN xdem > 0 THEN least(1.0, (1 - sp) * (x0 / xdem)) ELSE 1.0 END AS r FROM {state}"),
         (f"{p}worst", f"""SELECT t.scenario_id, e.j, min(t.r) AS s FROM edges e JOIN {p}rationed t ON t.node = e.i
             WHERE e.a > 0 GROUP BY t.scenario_id, e.j"""),
         (f"{p}factored", f"""SELECT t.*, coalesce(w.s, 1.0) AS s, least(coalesce(w.s, 1.0), 1 - t.sp) AS row_factor,
-              CASE WHEN t.cap - t.fd - least(coalesce(w.s, 1.0), 1 - t.sp) * t.z_row > {NOISE} * abs(t.cap)
-                   THEN t.cap - t.fd - least(coalesce(w.s, 1.0), 1 - t.sp) * t.z_row ELSE 0.0 END AS inv
+              greatest(t.z_row * (1 - t.sp - least(coalesce(w.s, 1.0), 1 - t.sp)) + (t.fd0 * (1 - t.sp) - t.fd), 0.0) AS inv
             FROM {p}rationed t LEFT JOIN {p}worst w ON w.scenario_id = t.scenario_id AND w.j = t.node"""),
-        (f"{p}flows", f"""SELECT *, least(con, need) AS base,
-              CASE WHEN need - con > {NOISE} * abs(need) THEN need - con ELSE 0.0 END AS unmet
-            FROM (SELECT f.scenario_id, e.i, e.j, e.globsec, e.z, e.a, e.z * f.row_factor AS con, e.a * u.xdem AS need
+        (f"{p}flows", f"""SELECT *, least(con, need) AS base
+            FROM (SELECT f.scenario_id, e.i, e.j, e.globsec, e.z, e.a, e.z * f.row_factor AS con, e.z * (u.xdem / u.x0) AS need,
+                         greatest(e.z * (u.xdem / u.x0 - f.row_factor), 0.0) AS unmet
                   FROM edges e JOIN {p}factored f ON f.node = e.i
                   JOIN {p}factored u ON u.scenario_id = f.scenario_id AND u.node = e.j)"""),
         (f"{p}inputs", f"""SELECT scenario_id, globsec, j, SUM(base) AS base, SUM(unmet) AS unmet, SUM(a) AS ag
@@ -432,7 +435,8 @@ def _finals() -> dict[str, str]:
           {plain('n.min_fd')}, {plain('n.min_x')}, {money('e.total_z')}, {money('n.total_fd')}, {money('n.total_x')},
           {rate('n.gap', 2, 'accounting_gap')}
         FROM (SELECT CAST(count(*) AS INTEGER) AS n_nodes, min(fd) AS min_fd, min(x) AS min_x, SUM(fd) AS total_fd,
-                     SUM(x) AS total_x, SUM(abs(x - (fd + z_row))) AS gap FROM nodes) n
+                     SUM(x) AS total_x, SUM(abs(x - (fd + coalesce(w.z, 0.0)))) AS gap
+              FROM nodes LEFT JOIN (SELECT i, SUM(z) AS z FROM raw_edges GROUP BY i) w ON w.i = nodes.node) n
         CROSS JOIN (SELECT CAST(count(*) AS INTEGER) AS n_edges, min(z) AS z, min(a) AS a, SUM(z) AS total_z FROM edges) e"""
     q["coefficients"] = f"""SELECT a.label AS i_label, b.label AS j_label, {rate('e.a')}
         FROM edges e JOIN ids a ON a.node = e.i JOIN ids b ON b.node = e.j"""

@@ -447,7 +447,7 @@ def first_step_state(spark, sf_dir):
 @query
 def reallocated_edges(spark, sf_dir):
     net, stepped = _stepped(spark, sf_dir)
-    final = propagate.reallocated_edges(net.edges, stepped, GAMMA)
+    final = propagate.reallocated_edges(net.edges, stepped)
     return final.select("scenario_id", "i", "j", plain("z0"), money("z1"))
 
 
@@ -606,14 +606,12 @@ def node_impact_csv(spark, sf_dir):
 # --- links ------------------------------------------------------------------
 
 
-def _changes(spark, sf_dir, metric: str, min_abs_delta: float = linkage.MIN_ABS_DELTA) -> DataFrame:
+def _changes(spark, sf_dir, metric: str) -> DataFrame:
     net, stepped = _stepped(spark, sf_dir)
-    final = propagate.reallocated_edges(net.edges, stepped, GAMMA)
-    return linkage.link_changes(final, stepped, net.nodes, metric, min_abs_delta)
+    final = propagate.reallocated_edges(net.edges, stepped)
+    return linkage.link_changes(final, stepped, net.nodes, metric)
 
 
-# Flows are compared to a hundred-thousandth of a unit; below that is rounding.
-FLOW_DELTA = 1e-5
 LINK_COLS = ("scenario_id", "i_label", "j_label")
 
 
@@ -632,7 +630,7 @@ def linkage_deltas_a(spark, sf_dir):
 
 @query
 def linkage_deltas_z(spark, sf_dir):
-    return _flow_links(linkage.changed_links(_changes(spark, sf_dir, "Z", FLOW_DELTA)))
+    return _flow_links(linkage.changed_links(_changes(spark, sf_dir, "Z")))
 
 
 def _top(spark, sf_dir, side: str) -> DataFrame:
@@ -655,7 +653,7 @@ def links_strengthened(spark, sf_dir):
 
 @query
 def links_weakened_large_flows(spark, sf_dir):
-    top = linkage.top_links(_changes(spark, sf_dir, "Z", FLOW_DELTA), "weakened", 15, 20000.0, metric="Z")
+    top = linkage.top_links(_changes(spark, sf_dir, "Z"), "weakened", 15, 20000.0, metric="Z")
     return top.select("rank", *LINK_COLS, *[money(c) for c in ("baseline", "final", "delta")], rate("delta_rel"))
 
 

@@ -26,11 +26,10 @@ class StressResult:
     gaps: DataFrame
     history: DataFrame | None
     gamma: float
-    noise: float
 
     def edges(self) -> DataFrame:
         """Baseline and final flow per (scenario_id, i, j); computed on demand."""
-        return propagate.reallocated_edges(self.network.edges, self.nodes, self.gamma, self.noise)
+        return propagate.reallocated_edges(self.network.edges, self.nodes)
 
 
 def demand_gap(stepped: DataFrame) -> DataFrame:
@@ -57,7 +56,6 @@ def run(
     inner_tol: float | None = None,
     inner_rounds: int | None = None,
     return_history: bool = False,
-    noise: float = propagate.NOISE,
 ) -> StressResult:
     """Run every scenario of ``shocks`` (scenario_id, node, sd, sp) to a feasible state.
 
@@ -90,7 +88,7 @@ def run(
             correction = required.solve(edges, change, scale, inner_tol, ratio, maybe_done=iteration == 1)
         else:
             correction = settle(required.rounds(edges, change, inner_rounds))
-        stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma, noise))
+        stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma))
         gap = demand_gap(stepped).withColumn("iteration", F.lit(iteration))
         gaps.append(gap)
         if return_history:
@@ -132,7 +130,6 @@ def run(
         gaps=union(gaps),
         history=union(seen) if return_history else None,
         gamma=gamma,
-        noise=noise,
     )
 
 

@@ -75,9 +75,7 @@ def dense_run(economy, sd, sp, gamma, max_iter, tol):
         s = np.where(a > 0, r[:, None], 1.0).min(axis=0)
         con, need = z * np.minimum(s, 1 - sp)[:, None], a * xdem
         base, unmet = np.minimum(con, need), np.maximum(need - con, 0)
-        unmet[unmet < 1e-9 * need] = 0
         inv = np.maximum(cap - fd - con.sum(axis=1), 0)
-        inv[inv < 1e-9 * cap] = 0
         inv_s, unmet_s = member.T @ inv, member.T @ unmet.sum(axis=1)
         frac = gamma * np.minimum(1, np.divide(inv_s, unmet_s, out=np.zeros_like(inv_s), where=unmet_s > 0))
         delivered = frac[:, None] * (member.T @ unmet)

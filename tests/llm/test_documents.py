@@ -245,3 +245,31 @@ def test_kd_shards(spark):
     assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in shards.values())
     assert len({r.shard for r in got if text[r.doc_id] == "the same text"}) == 1
     assert kd_sharding.kd_shards(cases.docs(spark, data=[])).collect() == []
+
+
+def test_secret_candidates_are_all_runs():
+    rng = random.Random(14)
+    letters = "".join(rng.choice("abcdefXYZ") for _ in range(200))
+    texts = [b"", "é key Qwertz ab7 \0 z".encode(), f"is {letters} or {letters[:45]} or {letters[:44]}é.".encode(), b"aB", b"secret=abcdefghijkl x"]
+    data, starts = secrets.padded(texts)
+    base, a, b = secrets.findings(texts, data, starts)
+    runs = {bytes(data[x:y]) for x, y in zip(a, b)}
+    assert runs >= {b"key", b"Qwertz", b"ab7", b"z", letters.encode(), b"aB", b"x"} and b"secret=abcdefghijkl" not in runs
+    assert [len(s) for s in base] == [0, 0, 0, 0, 1]
+    x, y, first = secrets.pieces(a, b)
+    covered = {(int(p), k) for p, q in zip(x, y) for k in range(p, q)}
+    assert {k for _, k in covered} == {k for p, q in zip(a, b) for k in range(p, q)} and max(y - x) <= secrets.BODY and len(first) == len(a)
+    net = secrets.Network()
+    rows = secrets.windows_at(data, x, y)
+    whole = net.scores(secrets.coded([r.tobytes() for r in rows]))
+    assert net.scores_at(data, x, y) == pytest.approx(whole, abs=1e-5)
+    plain = secrets.window(texts[1], 3, 6)
+    assert plain in {r.tobytes() for r in rows}
+
+
+def test_secret_threshold_keeps_recall_below_half():
+    net = secrets.Network()
+    x = secrets.coded([secrets.window(b"same", 0, 4)] * 100)
+    y = [1.0] * 10 + [0.0] * 90
+    net.calibrate(x, secrets.np.array(y))
+    assert net.threshold < 0.5 and (net.scores(x)[:10] >= net.threshold).mean() >= secrets.RECALL

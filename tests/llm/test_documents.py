@@ -273,3 +273,18 @@ def test_secret_threshold_keeps_recall_below_half():
     y = [1.0] * 10 + [0.0] * 90
     net.calibrate(x, secrets.np.array(y))
     assert net.threshold < 0.5 and (net.scores(x)[:10] >= net.threshold).mean() >= secrets.RECALL
+
+
+def test_decontamination_whatever_the_case(spark):
+    many = "Anna and Bob visit Carla with Dave while Emma paints the house of Frank near Grand Lake before Hugo and Iris come home"
+    opening = "Peter buys 4 ripe pears at the old market. Anna eats two of the pears there. Peter sells all other pears before noon."
+    long = "the price of the 7 small red boats rises every year until " + " ".join(f"w{chr(97 + k)}x" for k in range(20)) + " and the 7 large ones stay"
+    bench = spark.createDataFrame([(1, many), (2, opening), (3, long)], "item_id long, text string")
+    again = opening.replace("Peter", "Karl").replace("Anna", "Rosa").replace("4", "9")
+    head, tail = long.rsplit("7", 1)
+    data = [
+        (1, many.upper(), "en", "s", 0), (2, many.title(), "en", "s", 0), (3, many.lower(), "en", "s", 0), (4, again, "en", "s", 0),
+        (5, opening.upper().replace("4", "9"), "en", "s", 0), (6, f"{head}8{tail}", "en", "s", 0), (7, "see " + many.replace("Anna", "Zoe"), "en", "s", 0),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(cases.docs(spark, data=data), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 1)}

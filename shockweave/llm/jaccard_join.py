@@ -176,8 +176,8 @@ def _probed(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``."""
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``key``, ``n``, ``cls`` of every row; ``cls``, ``root``, ``component_id`` of every class."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
@@ -248,9 +248,15 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Data
         found = components(links.unionByName(linked(across)), "a", "b")
     first = found.withColumnRenamed("node", "cls").join(members, "cls", "left")
     reach = first.join(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
-    classes = members.join(reach.select("cls", "component_id"), "cls", "left").select(
-        "cls", F.coalesce("component_id", "first_id").alias("component_id")
+    classes = members.join(reach.select("cls", "root", "component_id"), "cls", "left").select(
+        "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
     )
+    return rows, classes
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``."""
+    rows, classes = _classes(docs, size, percent)
     return (
         rows.join(classes, "cls", "left")
         .select(
@@ -262,12 +268,20 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Data
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that reach a document of smaller id; repeated rows of an id stay once.
+    """``docs`` with one row of each component: that of the smallest doc_id, nulls last, then of the smallest hash.
 
-    Rows without doc_id stay if their texts have no shingles or reach no row with an id.
+    A document is a doc_id and a text, so different texts of one id are told apart and
+    repeated rows stay once. Rows whose texts have no shingles stay, those without doc_id all of them.
     """
-    kept = jaccard_join(docs, size, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    one = Window.partitionBy("id").orderBy("text")
-    rows = boxed(docs, id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
-    rows = rows.join(kept, F.expr("id <=> kept"), "left_semi").withColumn("n", F.row_number().over(one))
-    return unboxed(rows.where("n = 1 or id is null"))
+    rows, classes = _classes(docs, size, percent)
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("first")
+    held = rows.where("n > 0").join(classes.select("cls", "root"), "cls").groupBy("root").agg(first)
+    blank = rows.where("n = 0").select("doc_id", "key").distinct()
+    name = lambda doc_id, key: F.xxhash64(F.isnull(doc_id), doc_id, key).alias("name")
+    kept = held.select(name("first.doc_id", "first.key"), F.lit(False).alias("every")).unionByName(
+        blank.select(name("doc_id", "key"), F.isnull("doc_id").alias("every"))
+    )
+    one = Window.partitionBy("name").orderBy("name")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text").cast("string")))
+    rows = rows.select("row", name("id", "key")).join(kept, "name").withColumn("n", F.row_number().over(one))
+    return unboxed(rows.where("n = 1 or every"))

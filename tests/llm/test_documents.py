@@ -288,3 +288,18 @@ def test_decontamination_whatever_the_case(spark):
     ]
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(cases.docs(spark, data=data), bench).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 1)}
+
+
+def test_jaccard_one_of_each_row(spark):
+    rng = random.Random(15)
+    w, v = cases.words(rng, 60), cases.words(rng, 60)
+    near, other = " ".join([*w, "x1"]), " ".join(cases.words(rng, 50))
+    data = [
+        (None, "", "en", "s", 0), (None, None, "en", "s", 0),  # a blank text without id must not keep the others
+        (5, " ".join(w), "en", "s", 0), (None, near, "en", "s", 0), (None, " ".join(v), "en", "s", 0),
+        (None, " ".join([*v, "x2"]), "en", "s", 0), (6, near, "en", "s", 0), (6, other, "en", "s", 0), (6, other, "en", "s", 1),
+    ]
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(cases.docs(spark, data=data)).collect()]
+    lone = [t for i, t in got if i is None and t]
+    assert sorted(t for i, t in got if i is not None) == sorted([" ".join(w), other])
+    assert len(lone) == 1 and lone[0].startswith(" ".join(v)) and sum(i is None and not t for i, t in got) == 2

@@ -182,13 +182,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | Constant:
-    """A model from the TRAIN_DOCS labelled documents with the smallest hashes that are not held out."""
+    """A model from the TRAIN_DOCS labelled ones of ``docs`` with the smallest hashes that are not held out."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
         .where(f"doc_id is not null and _label is not null and not {HELD_OUT}")
         .groupBy("doc_id").agg(F.max("_label").alias("_label"))
     )
-    sample = known.withColumn("_hash", F.xxhash64("doc_id")).orderBy("_hash").limit(TRAIN_DOCS)
+    # Only labels of these documents, so that all that are drawn have a text.
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    sample = known.join(present, "doc_id", "left_semi").withColumn("_hash", F.xxhash64("doc_id")).orderBy("_hash").limit(TRAIN_DOCS)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows at most

@@ -303,3 +303,11 @@ def test_jaccard_one_of_each_row(spark):
     lone = [t for i, t in got if i is None and t]
     assert sorted(t for i, t in got if i is not None) == sorted([" ".join(w), other])
     assert len(lone) == 1 and lone[0].startswith(" ".join(v)) and sum(i is None and not t for i, t in got) == 2
+
+
+def test_quality_draws_labels_of_given_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 40)
+    rng = random.Random(16)
+    data = [(i, " ".join(w if i % 2 else w.upper() + "!!" for w in cases.words(rng, 50)), "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6000)], "doc_id long, quality int")
+    assert isinstance(quality.train(cases.docs(spark, data=data), labels), quality.Model)

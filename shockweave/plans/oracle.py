@@ -345,8 +345,8 @@ def _step(p: str, state: str) -> list[tuple[str, str]]:
               greatest(t.z_row * (1 - t.sp - least(coalesce(w.s, 1.0), 1 - t.sp)) + (t.fd0 * (1 - t.sp) - t.fd), 0.0) AS inv
             FROM {p}rationed t LEFT JOIN {p}worst w ON w.scenario_id = t.scenario_id AND w.j = t.node"""),
         (f"{p}flows", f"""SELECT *, least(con, need) AS base
-            FROM (SELECT f.scenario_id, e.i, e.j, e.globsec, e.z, e.a, e.z * f.row_factor AS con, e.z * (u.xdem / u.x0) AS need,
-                         greatest(e.z * (u.xdem / u.x0 - f.row_factor), 0.0) AS unmet
+            FROM (SELECT f.scenario_id, e.i, e.j, e.globsec, e.z, e.a, e.z * f.row_factor AS con, e.z * coalesce(u.xdem / nullif(u.x0, 0), 0.0) AS need,
+                         greatest(e.z * (coalesce(u.xdem / nullif(u.x0, 0), 0.0) - f.row_factor), 0.0) AS unmet
                   FROM edges e JOIN {p}factored f ON f.node = e.i
                   JOIN {p}factored u ON u.scenario_id = f.scenario_id AND u.node = e.j)"""),
         (f"{p}inputs", f"""SELECT scenario_id, globsec, j, SUM(base) AS base, SUM(unmet) AS unmet, SUM(a) AS ag

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockweave.llm import (
-    decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, quality, secrets, token_output, warc,
+    bpe, decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, quality, secrets, token_output, warc,
 )
 from shockweave.llm.tables import importable, table
 
@@ -65,11 +65,16 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_output, op3_line_dedup, op4_secrets, op5_mixing, op6_jaccard_join, op7_warc,
-        op8_quality, op9_near_vectors, op10_kd_sharding,
+        op8_quality, op9_near_vectors, op10_kd_sharding, op11_bpe,
     )
 }
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE}

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockweave.llm import (
-    bpe, decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, quality, secrets, token_output, warc,
+    bpe, decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, periodic_runs, quality, secrets,
+    token_output, warc,
 )
 from shockweave.llm.tables import importable, table
 
@@ -70,11 +71,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return periodic_runs.run_digests(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_output, op3_line_dedup, op4_secrets, op5_mixing, op6_jaccard_join, op7_warc,
         op8_quality, op9_near_vectors, op10_kd_sharding, op11_bpe,
+        op12_periodic_runs,
     )
 }
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE}

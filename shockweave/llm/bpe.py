@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from shockweave.llm.hashing import SPACE, joined, runs, span_hashes
 from shockweave.llm.tables import boxed, slices, texts_of
 
-REMEMBERED = 1 << 20
-SLICE = 1 << 22
+REMEMBERED = 1 << 19
+#: So many bytes of text, or so many ids, are worked on at once; a longer text alone.
+SLICE = 1 << 20
 NONE = np.iinfo(np.int64).max
 #: Fixed value: the characters that \s stands for in the tokenizer's pattern.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -247,25 +248,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            ids, starts = encoder(path)(texts_of(batch.column("text")))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "ids"])
-
-    return run
-
-
-def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> DataFrame:
-    """``row``, a struct of the columns ``keep`` (all if None), and ``ids array<int>`` of the whole text."""
-    rows = boxed(docs, keep, text=F.col("text").cast("string"))
-    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_encoded(tokenizer), schema)
-
-
-def decoded_texts(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all decoded texts and where each begins (and the last ends)."""
+def decoded_texts(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Decoded texts; ``starts`` says where each text's ids begin (and the last ends)."""
     valid = (ids >= 0) & (ids < len(v.sizes))
     valid[valid] = v.sizes[ids[valid]] > 0
     starts = np.append(0, np.cumsum(valid))[starts]
@@ -277,7 +261,34 @@ def decoded_texts(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> tuple[n
     ends = np.cumsum(sizes + gap)
     out = np.full(ends[-1] if len(ends) else 0, 0x20, np.uint8)
     out[ranges(ends - sizes, sizes)] = v.strings[ranges(v.starts[ids], sizes)]
-    return out, np.append(0, ends)[starts]
+    at = np.append(0, ends)[starts]
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(out)).cast(pa.string())
+
+
+def _encoded(path: str, back: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_ = encoder(path)
+        for batch in slices(batches, "text", SLICE):
+            ids, starts = encode_(texts_of(batch.column("text")))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+            columns = {"row": batch.column("row"), "ids": lists}
+            if back:
+                columns["decoded"] = decoded_texts(encode_.vocabulary, ids, starts)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, back: bool = False) -> DataFrame:
+    """``row``, a struct of the columns ``keep`` (all if None), and ``ids array<int>`` of the whole text.
+
+    With ``back`` also ``decoded``, what ``decode`` makes of the ids, in the same pass.
+    """
+    rows = boxed(docs, keep, text=F.col("text").cast("string"))
+    fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if back:
+        fields.append(T.StructField("decoded", T.StringType()))
+    return rows.mapInArrow(_encoded(tokenizer, back), T.StructType(fields))
 
 
 def _decoded(path: str):
@@ -290,9 +301,8 @@ def _decoded(path: str):
             starts, k = np.append(0, np.cumsum(sizes)), 0
             while k < len(batch):  # about SLICE ids at once, one long text alone
                 last = max(k + 1, int(np.searchsorted(starts, starts[k] + SLICE, "right")) - 1)
-                out, at = decoded_texts(v, ids[starts[k] : starts[last]].astype(np.int64), starts[k : last + 1] - starts[k])
-                texts = pa.LargeStringArray.from_buffers(last - k, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out))
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, last - k).columns, texts.cast(pa.string())], [*batch.schema.names, "decoded"])
+                texts = decoded_texts(v, ids[starts[k] : starts[last]], starts[k : last + 1] - starts[k])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, last - k).columns, texts], [*batch.schema.names, "decoded"])
                 k = last
 
     return run
@@ -306,9 +316,10 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: its number of ids, a digest of them and one of the text they decode to."""
-    rows = encode(docs, tokenizer, ["doc_id"]).select(
-        "row", "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")
-    )
-    return decode(rows, tokenizer).select(
-        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode(docs, tokenizer, ["doc_id"], back=True).select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

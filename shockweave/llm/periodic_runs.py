@@ -274,8 +274,10 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     g = F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    planted = F.array_join(F.transform(words, lambda w, i: F.element_at(words, (place(i) + 1).cast("int"))), " ")
+    # The lambda of a transform would cut the text anew for every word; whole slices do not.
+    cycle = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    cycles = F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(cycles, F.lit(1), (n - a).cast("int"))), " ")
     return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text").cast("string")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shockweave.llm import (
     bpe, decontaminate, jaccard_join, kd_sharding, line_dedup, mixing, near_vectors, periodic_runs, quality, secrets,
-    token_output, warc,
+    token_output, vector_codes, warc,
 )
 from shockweave.llm.tables import importable, table
 
@@ -76,12 +76,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_output, op3_line_dedup, op4_secrets, op5_mixing, op6_jaccard_join, op7_warc,
         op8_quality, op9_near_vectors, op10_kd_sharding, op11_bpe,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_vector_codes,
     )
 }
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE}

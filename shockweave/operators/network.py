@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from math import ceil, sqrt
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockweave.functions.labels import is_final_demand, is_production, node_label
 from shockweave.functions.numeric import ratio_nonzero, zero_if_null
 from shockweave.sources.flows import compact_flows
-from shockweave.storage import cut
+from shockweave.storage import cut, fresh_path
+
+ROWS_PER_BLOCK = 5_000
+MOST_SIDE = 64
+BLOCKS_PER_BUCKET = 4
 
 
 @dataclass(frozen=True)
@@ -20,11 +26,25 @@ class Network:
     """Baseline tables; written once and read by every scenario.
 
     ``nodes``: node, label, country, sector, globsec, fd, z_row, z_col, x.
-    ``edges``: i, j, globsec (of i), z, a (coefficient in use), t (``z / x_j``).
+    ``edges``: block, i, j, globsec (of i), z, a (coefficient in use), t (``z / x_j``),
+    stored by block in a grid of ``side`` x ``side`` blocks.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    side: int = 1
+
+    def for_producers(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``node`` as ``i``, once for each block that holds edges of the producer."""
+        return self._copied(state, "i", lambda k: F.col("i") % self.side * self.side + k)
+
+    def for_users(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``node`` as ``j``, once for each block that holds edges of the user."""
+        return self._copied(state, "j", lambda k: k * self.side + F.col("j") % self.side)
+
+    def _copied(self, state: DataFrame, end: str, block) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0), F.lit(self.side - 1))) if self.side > 1 else F.lit(0)
+        return state.withColumnRenamed("node", end).withColumn("_k", copies).withColumn("block", block(F.col("_k"))).drop("_k")
 
 
 def account_nodes(flows: DataFrame) -> DataFrame:
@@ -135,16 +155,47 @@ def global_technology(edges: DataFrame) -> DataFrame:
     return edges.groupBy("globsec", "j").agg(F.sum("t").alias("ag"))
 
 
-def in_blocks(edges: DataFrame, rows: int, rows_per_block: int = 5_000) -> DataFrame:
-    """Spread ``rows`` edges over square (i, j) blocks.
+def grid_side(rows: int) -> int:
+    """Side of the grid of blocks: about ``ROWS_PER_BLOCK`` edges a block, as each is read once per scenario."""
+    return min(MOST_SIDE, max(1, ceil(sqrt(rows / ROWS_PER_BLOCK))))
+
+
+def in_blocks(edges: DataFrame, side: int) -> DataFrame:
+    """Edges written once by square (i, j) block, as a bucketed table.
 
-    Each block sees about ``n / p`` producers and ``n / p`` users, which bounds
-    what it adds to a per-producer as well as to a per-user sum, and splits the
-    edges of a hub over ``p`` tasks. Blocks are small because every edge is
-    read once per scenario.
+    A block sees about ``n / side`` producers and users, which bounds what it adds to a sum
+    per producer or user, and the edges of a hub lie in ``side`` blocks. Joins with node
+    state copied to blocks find the edges where they are: whatever the size, edges are not
+    shuffled again.
     """
-    p = max(1, ceil(sqrt(rows / rows_per_block)))
-    return edges.repartitionById(p * p, (F.col("i") % p) * p + F.col("j") % p)
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = max(1, side * side // BLOCKS_PER_BUCKET)
+    placed = edges.withColumn("block", F.col("i") % side * side + F.col("j") % side)
+    placed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+#: A loop over placed edges is planned once: data placed by block alone serves a join on block
+#: and node, and no stage waits for another plan, as nothing about sizes is left to find out.
+LOOP_SETTINGS = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.adaptive.enabled": "false",
+}
+
+
+@contextmanager
+def joined_by_block(spark: SparkSession) -> Iterator[None]:
+    """Settings for plans over a network's edges that are made and run inside."""
+    before = {k: spark.conf.get(k) for k in LOOP_SETTINGS}
+    try:
+        for k, v in LOOP_SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def build_network(flows: DataFrame, coefficients: str = "derived") -> Network:
@@ -158,4 +209,5 @@ def build_network(flows: DataFrame, coefficients: str = "derived") -> Network:
     observed = compact.observe(seen, F.count_if(between).alias("rows"))
     nodes = cut(numbered(cut(account_sums(observed))))
     edges = with_coefficients(edge_table(compact, nodes), nodes, coefficients)
-    return Network(nodes, cut(in_blocks(edges, seen.get["rows"])))
+    side = grid_side(seen.get["rows"])
+    return Network(nodes, in_blocks(edges, side), side)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import floor_zero, ratio, zero_if_null
+from shockweave.operators.network import Network, joined_by_block
+from shockweave.operators.shocks import per_node
 from shockweave.storage import cut
 
 # Producers of one sector are copied this many times when pairs are written
@@ -29,21 +31,28 @@ from shockweave.storage import cut
 PAIR_SALTS = 16
 
 
-def initial_state(nodes: DataFrame, shocks: DataFrame) -> DataFrame:
-    """Capacity ``x (1 - sp)`` and demand ``fd (1 - sd)`` per scenario and node."""
-    return shocks.join(
-        nodes.select("node", "globsec", F.col("x").alias("x0"), F.col("fd").alias("fd0"), "z_row"), "node"
-    ).select(
+def initial_state(nodes: DataFrame, shocks: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+    """Capacity ``x (1 - sp)`` and demand ``fd (1 - sd)`` per scenario and node.
+
+    ``shocks`` list the nodes that are hit; here the others get their zeros. The scenarios
+    are those of ``scenarios``, by default those of ``shocks``.
+    """
+    ids = (shocks if scenarios is None else scenarios).select("scenario_id").distinct()
+    base = nodes.select("country", "node", "globsec", F.col("x").alias("x0"), F.col("fd").alias("fd0"), "z_row")
+    hit = shocks.select("scenario_id", "node", "sd", "sp", F.lit(True).alias("_hit"))
+    absent = F.col("_hit").isNull()
+    sd, sp = (F.when(absent, F.lit(0.0)).otherwise(F.col(c)) for c in ("sd", "sp"))
+    return per_node(ids, base).join(hit, ["scenario_id", "node"], "left").select(
         "scenario_id",
         "node",
         "globsec",
         "x0",
         "fd0",
         "z_row",
-        "sd",
-        "sp",
-        (F.col("x0") * (1 - F.col("sp"))).alias("cap"),
-        (F.col("fd0") * (1 - F.col("sd"))).alias("fd"),
+        sd.alias("sd"),
+        sp.alias("sp"),
+        (F.col("x0") * (1 - sp)).alias("cap"),
+        (F.col("fd0") * (1 - sd)).alias("fd"),
     )
 
 
@@ -54,17 +63,17 @@ def with_rationing(state: DataFrame) -> DataFrame:
     return state.withColumn("r", r)
 
 
-def bottlenecks(edges: DataFrame, rationed: DataFrame) -> DataFrame:
+def bottlenecks(net: Network, rationed: DataFrame) -> DataFrame:
     """``(scenario_id, node, s)`` for users whose worst supplier is rationed.
 
     Users that are absent have ``s = 1``: suppliers with ``r = 1`` cannot lower
     a minimum that is at most 1, so only rationed ones are joined.
     """
-    limited = rationed.filter(F.col("r") < 1).select("scenario_id", F.col("node").alias("i"), "r")
+    limited = net.for_producers(rationed.filter(F.col("r") < 1).select("scenario_id", "node", "r"))
     return (
-        edges.filter(F.col("a") > 0)
-        .select("i", "j")
-        .join(limited, "i")
+        net.edges.filter(F.col("a") > 0)
+        .select("block", "i", "j")
+        .join(limited, ["block", "i"])
         .groupBy("scenario_id", F.col("j").alias("node"))
         .agg(F.min("r").alias("s"))
     )
@@ -86,22 +95,22 @@ def with_factors(rationed: DataFrame, bottleneck: DataFrame) -> DataFrame:
     return factored.withColumn("inv", floor_zero(unsold + undemanded))
 
 
-def edge_flows(edges: DataFrame, factored: DataFrame) -> DataFrame:
+def edge_flows(net: Network, factored: DataFrame) -> DataFrame:
     """``(scenario_id, i, j, globsec, z, t, con, need, base, unmet)`` on baseline edges.
 
     ``need`` is ``a * xdem``; of a derived coefficient that is ``z`` times the
     change of the user's output.
     """
-    producers = factored.select("scenario_id", F.col("node").alias("i"), "row_factor")
-    users = factored.select("scenario_id", F.col("node").alias("j"), "xdem", "x0")
+    producers = net.for_producers(factored.select("scenario_id", "node", "row_factor"))
+    users = net.for_users(factored.select("scenario_id", "node", "xdem", "x0"))
     derived = (F.col("a") == F.col("t")) & (F.col("x0") != 0)
     change = F.try_divide("xdem", "x0")
     con = F.col("z") * F.col("row_factor")
     need = F.when(derived, F.col("z") * change).otherwise(F.col("a") * F.col("xdem"))
     short = F.when(derived, F.col("z") * (change - F.col("row_factor"))).otherwise(F.col("a") * F.col("xdem") - con)
     return (
-        edges.join(producers, "i")
-        .join(users, ["scenario_id", "j"])
+        net.edges.join(producers, ["block", "i"])
+        .join(users, ["scenario_id", "block", "j"])
         .select(
             "scenario_id", "i", "j", "globsec", "z", "t",
             con.alias("con"), need.alias("need"), F.least(con, need).alias("base"), floor_zero(short).alias("unmet"),
@@ -205,13 +214,13 @@ def with_feasible_output(reallocated: DataFrame, feasibility: DataFrame) -> Data
     )
 
 
-def factored_state(edges: DataFrame, state: DataFrame) -> DataFrame:
+def factored_state(net: Network, state: DataFrame) -> DataFrame:
     """State with rationing, bottleneck, row factor and inventory."""
     rationed = with_rationing(state)
-    return with_factors(rationed, bottlenecks(edges, rationed))
+    return with_factors(rationed, bottlenecks(net, rationed))
 
 
-def step(edges: DataFrame, state: DataFrame, gamma: float) -> DataFrame:
+def step(net: Network, state: DataFrame, gamma: float) -> DataFrame:
     """State after one step, one row per (scenario_id, node).
 
     The two joins of edges with scenarios are jobs of their own; what follows
@@ -219,8 +228,9 @@ def step(edges: DataFrame, state: DataFrame, gamma: float) -> DataFrame:
     """
     if not 0.0 <= gamma <= 1.0:
         raise ValueError(f"gamma must be in [0, 1], not {gamma}")
-    factored = cut(factored_state(edges, state))
-    sums = cut(edge_sums(edge_flows(edges, factored)))
+    with joined_by_block(state.sparkSession):
+        factored = cut(factored_state(net, state))
+        sums = cut(edge_sums(edge_flows(net, factored)))
     inputs = inputs_by_sector(sums)
     balance = sector_balance(factored, inputs, gamma)
     return with_feasible_output(
@@ -271,13 +281,13 @@ def reallocated_pairs(stepped: DataFrame, supply: DataFrame) -> DataFrame:
     )
 
 
-def reallocated_edges(edges: DataFrame, stepped: DataFrame) -> DataFrame:
+def reallocated_edges(net: Network, stepped: DataFrame) -> DataFrame:
     """``(scenario_id, i, j, z0, z1)``: baseline and new flow of every edge with either.
 
     ``stepped`` is the output of ``step``. Base flows and deliveries are two
     contributions to one sum, which also aligns baseline and final edges.
     """
-    flows = edge_flows(edges, stepped)
+    flows = edge_flows(net, stepped)
     balance = stepped.select("scenario_id", "globsec", "frac").distinct()
     inputs = inputs_by_sector(edge_sums(flows))
     added = reallocated_pairs(stepped, sector_supply(inputs, balance))

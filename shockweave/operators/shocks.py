@@ -27,49 +27,58 @@ def _checked_pct(name: str) -> Column:
     return F.when(ok, pct).otherwise(F.raise_error(message))
 
 
-def _wanted(codes: Column, code: str) -> Column:
-    return (F.size(codes) == 0) | F.array_contains(codes, F.col(code))
-
-
 def per_node(scenarios: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every scenario on every node, which is the size of the result.
+    """Every scenario on every node, which is the size of a run's state.
 
     Scenarios are expanded over the catalog of countries and then meet the
     nodes in an equi-join, which Spark can hash, broadcast or split by skew.
     """
     catalog = nodes.agg(F.collect_set("country")).scalar()
-    return scenarios.withColumn("country", F.explode(catalog)).join(
-        nodes.select("node", "label", "country", "sector"), "country"
-    )
+    return scenarios.withColumn("country", F.explode(catalog)).join(nodes, "country")
 
 
 def targeted_shocks(scenarios: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(scenario_id, node, sd, sp)`` for country and sector targets."""
-    none = F.array().cast("array<string>")
-
-    def shock(kind: str) -> Column:
-        countries = F.coalesce(f"{kind}_countries", "countries", none)
-        sectors = F.coalesce(f"{kind}_sectors", "sectors", none)
-        hit = _wanted(countries, "country") & _wanted(sectors, "sector")
-        return F.when(hit, F.col(f"{kind}_pct") / 100.0).otherwise(F.lit(0.0))
+    """``(scenario_id, node, label, sd, sp)`` of the nodes that country and sector targets hit.
 
+    Targets become rows of (country, sector), an empty list standing for all there are, and
+    meet the nodes in one equi-join, so rows grow with hits; a node without a row is not hit.
+    """
+    none = F.array().cast("array<string>")
+    all_of = {c: nodes.agg(F.collect_set(c)).scalar() for c in ("country", "sector")}
     checked = scenarios.withColumn("supply_pct", _checked_pct("supply_pct")).withColumn(
         "demand_pct", _checked_pct("demand_pct")
     )
-    return per_node(checked, nodes).select(
-        "scenario_id", "node", "label", shock("demand").alias("sd"), shock("supply").alias("sp")
+
+    def targets(kind: str) -> DataFrame:
+        def codes(plural: str, code: str) -> Column:
+            given = F.coalesce(f"{kind}_{plural}", plural, none)
+            return F.when(F.size(given) == 0, all_of[code]).otherwise(F.array_distinct(given))
+
+        pct = F.col(f"{kind}_pct")
+        rows = checked.filter(pct > 0).select("scenario_id", (pct / 100.0).alias("shock"), codes("countries", "country").alias("c"), codes("sectors", "sector").alias("s"))
+        rows = rows.select("scenario_id", "shock", F.explode("c").alias("country"), "s")
+        return rows.select("scenario_id", "shock", "country", F.explode("s").alias("sector"), F.lit(kind).alias("kind"))
+
+    def of_kind(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("shock")).otherwise(F.lit(0.0)))
+
+    return (
+        targets("supply")
+        .unionByName(targets("demand"))
+        .join(nodes.select("node", "label", "country", "sector"), ["country", "sector"])
+        .groupBy("scenario_id", "node", "label")
+        .agg(of_kind("demand").alias("sd"), of_kind("supply").alias("sp"))
     )
 
 
 def flat_shocks(scalars: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Supply shock ``scalar`` on all nodes of the scenario's country, 0 elsewhere.
+    """Supply shock ``scalar`` on all nodes of the scenario's country; other nodes have no row.
 
     ``scalars`` holds (scenario_id, ISO2, scalar).
     """
-    sized = scalars.select("scenario_id", "ISO2", "scalar")
-    sp = F.when(F.col("country") == F.col("ISO2"), F.col("scalar")).otherwise(F.lit(0.0))
-    return per_node(sized, nodes).select(
-        "scenario_id", "node", "label", F.lit(0.0).alias("sd"), sp.alias("sp")
+    sized = scalars.filter(F.col("scalar") > 0).select("scenario_id", F.col("ISO2").alias("country"), "scalar")
+    return sized.join(nodes.select("node", "label", "country"), "country").select(
+        "scenario_id", "node", "label", F.lit(0.0).alias("sd"), F.col("scalar").alias("sp")
     )
 
 

@@ -1,8 +1,8 @@
 """Registered queries: each takes (spark, sf_dir) and reads the driver tables.
 
-Amounts are rounded for display. Plain sums of prices carry four decimals;
-amounts derived from them are first converted at a fixed rate, which keeps
-values off the decimal grid, where summation order could flip the last digit.
+Amounts are rounded for display, as decimals: sums of prices lie on a decimal grid, where
+halves must be round numbers whatever the order of summation. Result tables of a settled
+state read one run, which is computed once for given input files and parameters.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ from shockweave.operators import (
 )
 from shockweave.plans import fixtures as fx
 from shockweave.plans import stress
-from shockweave.sources import cube, dims, flows, sinks
+from shockweave.sources import bundle, cube, dims, flows, sinks
 from shockweave.sources.losses import HAZARDS
-from shockweave.storage import cut, fresh_path, settle
+from shockweave.storage import cut, fresh_path
 
-DISPLAY_RATE = 1.95583
 GAMMA = 0.5
 K2 = {"gamma": GAMMA, "max_iter": 2, "tol": 1e-9, "inner_rounds": 8}
-CONVERGED = {"gamma": 0.05, "max_iter": 200, "tol": 1e-4}
+SETTLED = {"gamma": 0.05, "max_iter": 200, "tol": 1e-4, "inner_tol": 1e-13}
+#: Smallest change of a link that counts in a settled state, by metric.
+MOVED = {"A": 1e-9, "Z": 1e-3}
+FLOW_INPUTS = ("lineitem", "orders", "part", "supplier", "customer", "nation")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +55,7 @@ def plain(c: str | Column, digits: int = 4) -> Column:
 
 
 def money(c: str, digits: int = 2) -> Column:
-    return (F.round(F.col(c) / DISPLAY_RATE, digits) + F.lit(0.0)).alias(c)
+    return F.round(F.col(c).cast("decimal(32,5)"), digits).cast("double").alias(c)
 
 
 def rate(c: str, digits: int = 8) -> Column:
@@ -354,8 +356,7 @@ def targeted_shocks(spark, sf_dir):
 @query
 def flat_shocks(spark, sf_dir):
     nodes = network.node_table(cut(flows.compact_flows(_newest(spark, sf_dir))))
-    scalars = _scalars(spark, sf_dir).filter(F.col("level") == "extreme")
-    vectors = shocks.flat_shocks(cut(scalars), nodes)
+    vectors = shocks.flat_shocks(cut(_scalars(spark, sf_dir)), nodes)
     return vectors.select("scenario_id", "label", rate("sd"), rate("sp", 10))
 
 
@@ -366,14 +367,14 @@ def _start(spark, sf_dir) -> tuple[network.Network, DataFrame]:
     """Network and shocked state. Required output is baseline output less the
     uniform demand cut, which is what it amounts to in the first step."""
     net = _network(spark, sf_dir)
-    vectors = shocks.targeted_shocks(fx.scenarios(spark), net.nodes)
-    state = propagate.initial_state(net.nodes, vectors)
+    scenarios = fx.scenarios(spark)
+    state = propagate.initial_state(net.nodes, shocks.targeted_shocks(scenarios, net.nodes), scenarios)
     return net, cut(state.withColumn("xdem", F.col("x0") * (1 - F.col("sd"))))
 
 
 def _stepped(spark, sf_dir) -> tuple[network.Network, DataFrame]:
     net, state = _start(spark, sf_dir)
-    return net, cut(propagate.step(net.edges, state, GAMMA))
+    return net, cut(propagate.step(net, state, GAMMA))
 
 
 @query
@@ -391,7 +392,7 @@ def rationing(spark, sf_dir):
 @query
 def bottleneck(spark, sf_dir):
     net, state = _start(spark, sf_dir)
-    return _named(propagate.factored_state(net.edges, state), net, "node").select(
+    return _named(propagate.factored_state(net, state), net, "node").select(
         "scenario_id", "label", rate("s"), rate("row_factor")
     )
 
@@ -399,13 +400,13 @@ def bottleneck(spark, sf_dir):
 @query
 def inventory(spark, sf_dir):
     net, state = _start(spark, sf_dir)
-    return _named(propagate.factored_state(net.edges, state), net, "node").select("scenario_id", "label", money("inv"))
+    return _named(propagate.factored_state(net, state), net, "node").select("scenario_id", "label", money("inv"))
 
 
 def _edge_flows(spark, sf_dir) -> tuple[network.Network, DataFrame, DataFrame]:
     net, state = _start(spark, sf_dir)
-    factored = cut(propagate.factored_state(net.edges, state))
-    return net, factored, propagate.edge_flows(net.edges, factored)
+    factored = cut(propagate.factored_state(net, state))
+    return net, factored, propagate.edge_flows(net, factored)
 
 
 @query
@@ -447,14 +448,14 @@ def first_step_state(spark, sf_dir):
 @query
 def reallocated_edges(spark, sf_dir):
     net, stepped = _stepped(spark, sf_dir)
-    final = propagate.reallocated_edges(net.edges, stepped)
+    final = propagate.reallocated_edges(net, stepped)
     return final.select("scenario_id", "i", "j", plain("z0"), money("z1"))
 
 
 @query
 def step_totals(spark, sf_dir):
     net, stepped = _stepped(spark, sf_dir)
-    report = propagate.step_totals(propagate.edge_flows(net.edges, stepped), stepped)
+    report = propagate.step_totals(propagate.edge_flows(net, stepped), stepped)
     return report.select("scenario_id", *[money(c, 1) for c in ("tot_con", "tot_need", "tot_new", "tot_inv", "tot_unmet")])
 
 
@@ -464,16 +465,30 @@ def step_totals(spark, sf_dir):
 @query
 def demand_output_k30(spark, sf_dir):
     net = _network(spark, sf_dir)
-    vectors = shocks.targeted_shocks(fx.scenarios(spark), net.nodes)
-    start = settle(propagate.initial_state(net.nodes, vectors).select("scenario_id", "node", F.col("fd").alias("v")))
-    settled = required.rounds(net.edges, start, 30)
+    scenarios = fx.scenarios(spark)
+    state = propagate.initial_state(net.nodes, shocks.targeted_shocks(scenarios, net.nodes), scenarios)
+    settled = required.rounds(net, cut(state.select("scenario_id", "node", F.col("fd").alias("v"))), 30)
     return _named(settled, net, "node").select("scenario_id", "label", money("v").alias("xdem"))
 
 
+@query
+def demand_output(spark, sf_dir):
+    """Output that each scenario's demand requires, solved to a tolerance."""
+    net = _network(spark, sf_dir)
+    scenarios = fx.scenarios(spark)
+    state = propagate.initial_state(net.nodes, shocks.targeted_shocks(scenarios, net.nodes), scenarios)
+    start = cut(state.select("scenario_id", "node", F.col("fd").alias("v")))
+    scale = net.nodes.agg(F.max("x")).first()[0] or 1.0
+    solved = required.solve(net, start, scale, SETTLED["inner_tol"], required.shrink_ratio(net))
+    return _named(solved, net, "node").select("scenario_id", "label", money("v", 1).alias("xdem"))
+
+
 def _run(spark, sf_dir, **controls) -> stress.StressResult:
     net = _network(spark, sf_dir)
-    vectors = shocks.targeted_shocks(fx.scenarios(spark), net.nodes)
-    return stress.run(net, vectors, **controls)
+    scenarios = fx.scenarios(spark)
+    vectors = cut(shocks.targeted_shocks(scenarios, net.nodes))
+    requirements = required.total_requirements(net) if controls.get("inner_rounds") is None else None
+    return stress.run(net, vectors, scenarios=scenarios, requirements=requirements, **controls)
 
 
 @query
@@ -485,12 +500,6 @@ def feasible_state_k2(spark, sf_dir):
     )
 
 
-@query
-def gap_per_iteration(spark, sf_dir):
-    result = _run(spark, sf_dir, **K2)
-    return result.gaps.select("scenario_id", "iteration", rate("gap"))
-
-
 @query
 def history_k2(spark, sf_dir):
     result = _run(spark, sf_dir, **K2, return_history=True)
@@ -499,45 +508,81 @@ def history_k2(spark, sf_dir):
     )
 
 
-@query
-def demand_diagnostics(spark, sf_dir):
-    report = stress.demand_diagnostics(_run(spark, sf_dir, **K2))
-    amounts = ("fd_baseline", "fd_final", "fd_implied", "max_unmet", "max_slack")
-    return report.select("scenario_id", "iterations", "converged", *[money(c, 1) for c in amounts])
+def _settled(spark, sf_dir) -> dict[str, DataFrame]:
+    """Scenarios run to their settled states: ``nodes`` of the network, ``state``, ``flows``, ``gaps``, ``history``.
+
+    The run is kept under a key of the input files, scenarios and controls.
+    """
+
+    def compute() -> dict[str, DataFrame]:
+        result = _run(spark, sf_dir, **SETTLED, return_history=True)
+        return {
+            "nodes": result.network.nodes, "state": result.nodes, "flows": result.edges(),
+            "gaps": result.gaps, "history": result.history,
+        }
+
+    inputs = [f"{sf_dir}/{t}.parquet" for t in FLOW_INPUTS]
+    return bundle.kept(spark, "settled", inputs, {**SETTLED, "scenarios": fx.SCENARIOS}, compute)
+
+
+def _labelled(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    return df.join(nodes.select("node", "label"), "node")
 
 
 @query
 def feasible_state_converged(spark, sf_dir):
-    result = _run(spark, sf_dir, **CONVERGED)
-    return _named(result.nodes, result.network, "node").select(
-        "scenario_id", "label", "iterations", "converged", *[money(c) for c in ("xs", "fd_next")]
+    run = _settled(spark, sf_dir)
+    return _labelled(run["state"], run["nodes"]).select(
+        "scenario_id", "label", "iterations", "converged",
+        *[money(c, 1) for c in ("xdem", "xs", "xl", "xg", "fd_next", "fd_implied")],
+    )
+
+
+@query
+def gap_per_iteration(spark, sf_dir):
+    return _settled(spark, sf_dir)["gaps"].select("scenario_id", "iteration", rate("gap", 9))
+
+
+@query
+def history_settled(spark, sf_dir):
+    run = _settled(spark, sf_dir)
+    return _labelled(run["history"], run["nodes"]).select(
+        "scenario_id", "iteration", "label", money("fd", 1), money("fd_implied", 1), money("xs", 1)
     )
 
 
+@query
+def demand_diagnostics(spark, sf_dir):
+    report = stress.demand_diagnostics(_settled(spark, sf_dir)["state"])
+    amounts = ("fd_baseline", "fd_final", "fd_implied", "max_unmet", "max_slack")
+    return report.select("scenario_id", "iterations", "converged", *[money(c, 1) for c in amounts])
+
+
 @query
 def calibrated_sweep(spark, sf_dir):
-    """Every country x hazard x level scenario through one step; loss by scenario."""
+    """Every country x hazard x level scenario run to its settled state; loss by scenario."""
     net = _network(spark, sf_dir)
-    vectors = shocks.flat_shocks(cut(_scalars(spark, sf_dir)), net.nodes)
-    state = cut(propagate.initial_state(net.nodes, vectors).withColumn("xdem", F.col("x0")))
-    stepped = propagate.step(net.edges, state, GAMMA)
+    scalars = cut(_scalars(spark, sf_dir))
+    result = stress.run(net, cut(shocks.flat_shocks(scalars, net.nodes)), scenarios=scalars, requirements=required.total_requirements(net), **SETTLED)
     lost = F.sum(F.col("x0") - F.col("xs"))
-    return stepped.groupBy("scenario_id").agg(lost.alias("loss_abs"), (F.lit(100.0) * lost / F.sum("x0")).alias("loss_pct")).select(
-        "scenario_id", money("loss_abs", 1), rate("loss_pct")
+    report = result.nodes.groupBy("scenario_id", "iterations", "converged").agg(
+        lost.alias("loss_abs"), (F.lit(100.0) * lost / F.sum("x0")).alias("loss_pct")
     )
+    return report.select("scenario_id", "iterations", "converged", money("loss_abs", 0), rate("loss_pct", 6))
 
 
 # --- impact -----------------------------------------------------------------
 
 
-def _impacts(spark, sf_dir) -> tuple[network.Network, DataFrame, DataFrame]:
-    net, stepped = _stepped(spark, sf_dir)
-    per_output = net.nodes.select("node", "sector").join(fx.employment_intensity(spark, sf_dir), "sector")
-    return net, stepped, impact.node_impacts(stepped, net.nodes, employment_per_output=per_output)
+def _impacts(spark, sf_dir) -> DataFrame:
+    run = _settled(spark, sf_dir)
+    nodes = run["nodes"]
+    per_output = nodes.select("node", "sector").join(fx.employment_intensity(spark, sf_dir), "sector")
+    return impact.node_impacts(run["state"], nodes, employment_per_output=per_output)
 
 
-def _measures(*names: str, digits: int = 2) -> list[Column]:
-    return [rate(c) if c.endswith("pct") or c.endswith("pct_total") else money(c, digits) for c in names]
+def _measures(*names: str, digits: int = 1) -> list[Column]:
+    return [rate(c, 6) if c.endswith("pct") or c.endswith("pct_total") else money(c, digits) for c in names]
 
 
 X_COLS = ("X_baseline", "X_final", "loss_abs", "loss_pct")
@@ -547,28 +592,25 @@ EMP_COLS = ("EMP_baseline", "EMP_final", "EMP_loss_abs", "EMP_loss_pct")
 
 @query
 def node_impact(spark, sf_dir):
-    _, _, impacts = _impacts(spark, sf_dir)
-    return impact.by_loss(impacts).select("scenario_id", "label", "country", "sector", *_measures(*X_COLS))
+    return impact.by_loss(_impacts(spark, sf_dir)).select("scenario_id", "label", "country", "sector", *_measures(*X_COLS))
 
 
 @query
 def value_added(spark, sf_dir):
-    _, _, impacts = _impacts(spark, sf_dir)
-    return impacts.select("scenario_id", "label", *_measures(*VA_COLS))
+    return _impacts(spark, sf_dir).select("scenario_id", "label", *_measures(*VA_COLS))
 
 
 @query
 def employment(spark, sf_dir):
-    _, _, impacts = _impacts(spark, sf_dir)
-    return impacts.select("scenario_id", "label", *_measures(*EMP_COLS))
+    return _impacts(spark, sf_dir).select("scenario_id", "label", *_measures(*EMP_COLS))
 
 
 def _countries(spark, sf_dir) -> DataFrame:
-    return impact.country_impacts(_impacts(spark, sf_dir)[2])
+    return impact.country_impacts(_impacts(spark, sf_dir))
 
 
 def _sectors(spark, sf_dir) -> DataFrame:
-    named = dims.decode_sectors(_impacts(spark, sf_dir)[2], dims.sector_decoder(fx.code_dimension(spark, sf_dir)))
+    named = dims.decode_sectors(_impacts(spark, sf_dir), dims.sector_decoder(fx.code_dimension(spark, sf_dir)))
     return impact.sector_impacts(named)
 
 
@@ -588,14 +630,13 @@ def sector_impact(spark, sf_dir):
 
 @query
 def totals(spark, sf_dir):
-    _, stepped, impacts = _impacts(spark, sf_dir)
-    report = impact.totals(impacts, stepped)
-    return report.select("scenario_id", *_measures(*[c for c in report.columns if c != "scenario_id"], digits=1))
+    report = impact.totals(_impacts(spark, sf_dir), _settled(spark, sf_dir)["state"])
+    return report.select("scenario_id", *_measures(*[c for c in report.columns if c != "scenario_id"], digits=0))
 
 
 @query
 def node_impact_csv(spark, sf_dir):
-    _, _, impacts = _impacts(spark, sf_dir)
+    impacts = _impacts(spark, sf_dir)
     path = fresh_path(spark, "node-impacts")
     sinks.write_csv(impacts, path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in impacts.schema)
@@ -607,60 +648,57 @@ def node_impact_csv(spark, sf_dir):
 
 
 def _changes(spark, sf_dir, metric: str) -> DataFrame:
-    net, stepped = _stepped(spark, sf_dir)
-    final = propagate.reallocated_edges(net.edges, stepped)
-    return linkage.link_changes(final, stepped, net.nodes, metric)
+    """Links that moved between baseline and settled state."""
+    run = _settled(spark, sf_dir)
+    changes = linkage.link_changes(run["flows"], run["state"], run["nodes"], metric, MOVED[metric])
+    return linkage.changed_links(changes)
 
 
 LINK_COLS = ("scenario_id", "i_label", "j_label")
 
 
+def _ends(df: DataFrame) -> list[str]:
+    return [c for c in ("rank", *LINK_COLS) if c in df.columns]
+
+
 def _coefficient_links(df: DataFrame) -> DataFrame:
-    return df.select(*LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")])
+    return df.select(*_ends(df), *[rate(c) for c in ("baseline", "final", "delta")], rate("delta_rel", 5))
 
 
 def _flow_links(df: DataFrame) -> DataFrame:
-    return df.select(*LINK_COLS, *[money(c) for c in ("baseline", "final", "delta")], rate("delta_rel"))
+    return df.select(*_ends(df), *[money(c, 1) for c in ("baseline", "final", "delta")], rate("delta_rel", 5))
 
 
 @query
 def linkage_deltas_a(spark, sf_dir):
-    return _coefficient_links(linkage.changed_links(_changes(spark, sf_dir, "A")))
+    return _coefficient_links(_changes(spark, sf_dir, "A"))
 
 
 @query
 def linkage_deltas_z(spark, sf_dir):
-    return _flow_links(linkage.changed_links(_changes(spark, sf_dir, "Z")))
-
-
-def _top(spark, sf_dir, side: str) -> DataFrame:
-    return linkage.top_links(_changes(spark, sf_dir, "A"), side)
+    return _flow_links(_changes(spark, sf_dir, "Z"))
 
 
 @query
 def links_weakened(spark, sf_dir):
-    return _top(spark, sf_dir, "weakened").select(
-        "rank", *LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")]
-    )
+    return _coefficient_links(linkage.top_links(_changes(spark, sf_dir, "A"), "weakened"))
 
 
 @query
 def links_strengthened(spark, sf_dir):
-    return _top(spark, sf_dir, "strengthened").select(
-        "rank", *LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")]
-    )
+    return _coefficient_links(linkage.top_links(_changes(spark, sf_dir, "A"), "strengthened"))
 
 
 @query
 def links_weakened_large_flows(spark, sf_dir):
     top = linkage.top_links(_changes(spark, sf_dir, "Z"), "weakened", 15, 20000.0, metric="Z")
-    return top.select("rank", *LINK_COLS, *[money(c) for c in ("baseline", "final", "delta")], rate("delta_rel"))
+    return _flow_links(top)
 
 
 @query
 def links_weakened_min_baseline_a(spark, sf_dir):
     top = linkage.top_links(_changes(spark, sf_dir, "A"), "weakened", min_baseline=0.5, metric="A")
-    return top.select("rank", *LINK_COLS, *[rate(c) for c in ("baseline", "final", "delta", "delta_rel")])
+    return _coefficient_links(top)
 
 
 @query
@@ -669,14 +707,14 @@ def links_combined(spark, sf_dir):
     table = linkage.signed_link_table(
         linkage.top_links(changes, "weakened"), linkage.top_links(changes, "strengthened"), k=20
     )
-    return table.select("scenario_id", "edge", "direction", rate("delta_pp"), rate("delta_rel_pct"))
+    return table.select("scenario_id", "edge", "direction", rate("delta_pp", 6), rate("delta_rel_pct", 4))
 
 
 # --- heatmap ----------------------------------------------------------------
 
 
 def _links(spark, sf_dir) -> DataFrame:
-    return cut(linkage.changed_links(_changes(spark, sf_dir, "A")))
+    return cut(_changes(spark, sf_dir, "A"))
 
 
 def _heat(spark, sf_dir, perspective: str, aggregation: str) -> DataFrame:
@@ -849,6 +887,6 @@ def range_violations(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shock scenarios towards a feasible state in two iterations, then loss by country."""
-    result = _run(spark, sf_dir, gamma=GAMMA, max_iter=2, tol=1e-4, inner_rounds=6)
-    return impact.by_loss(impact.country_impacts(impact.node_impacts(result.nodes, result.network.nodes)))
+    """Shock scenarios to their settled states, then loss by country."""
+    run = _settled(spark, sf_dir)
+    return impact.by_loss(impact.country_impacts(impact.node_impacts(run["state"], run["nodes"])))

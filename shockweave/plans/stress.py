@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shockweave.operators import propagate, required
-from shockweave.operators.network import Network
-from shockweave.storage import cut, settle
+from shockweave.operators.network import Network, joined_by_block
+from shockweave.storage import cut, scratch
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class StressResult:
 
     def edges(self) -> DataFrame:
         """Baseline and final flow per (scenario_id, i, j); computed on demand."""
-        return propagate.reallocated_edges(self.network.edges, self.nodes)
+        return propagate.reallocated_edges(self.network, self.nodes)
 
 
 def demand_gap(stepped: DataFrame) -> DataFrame:
@@ -56,87 +56,98 @@ def run(
     inner_tol: float | None = None,
     inner_rounds: int | None = None,
     return_history: bool = False,
+    scenarios: DataFrame | None = None,
+    requirements: DataFrame | None = None,
 ) -> StressResult:
     """Run every scenario of ``shocks`` (scenario_id, node, sd, sp) to a feasible state.
 
-    Required output starts from baseline output and is corrected each
-    iteration by what demand changed, so later iterations need few rounds.
-    ``inner_rounds`` fixes their number instead of testing for ``inner_tol``.
-    A settled scenario leaves the active set; the driver sees one count per
-    iteration.
+    ``shocks`` need to list only nodes that are hit; ``scenarios`` (scenario_id) adds those
+    that hit none. Required output starts from baseline output and is corrected each
+    iteration by what demand changed: with ``requirements`` (``required.total_requirements``)
+    in one join, else in rounds, of which later iterations need few, until no node
+    moves by ``inner_tol`` times the largest output, or ``inner_rounds`` of them.
+    A settled scenario leaves the active set; the driver sees counts and one size per
+    iteration. Tables written on the way are removed at the end.
     """
     check_controls(gamma, max_iter, tol)
-    inside = F.col("sd").between(0, 1) & F.col("sp").between(0, 1)
-    outside = shocks.agg(F.count_if(~F.coalesce(inside, F.lit(False)))).first()[0]
-    if outside:
-        raise ValueError(f"{outside} rows of shocks have sd or sp missing or outside [0, 1]")
     inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
-    # Re-read every round; a lost executor's part is read again from the table.
-    edges = network.edges.persist()
-    sizes = network.nodes.agg(F.count("*"), F.sum(F.abs("x"))).first()
-    node_rows, scale = max(1, sizes[0]), sizes[1] or 1.0
-
-    state = cut(propagate.initial_state(network.nodes, shocks).withColumn("xdem", F.col("x0")))
-    active = state.count() // node_rows
-    ratio = required.shrink_ratio(edges, network.nodes) if inner_rounds is None else 0.0
-    change = settle(required.residual(edges, state))
+    with scratch():
+        finished, gaps, seen = _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements)
+        union = lambda parts: reduce(DataFrame.unionByName, parts)
+        return StressResult(
+            network=network,
+            nodes=cut(union(finished), keep=True),
+            gaps=union(gaps),
+            history=cut(union(seen), keep=True) if return_history else None,
+            gamma=gamma,
+        )
+
+
+def _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements):
+    """Final states of scenarios as they settle, gaps of all iterations (written to stay), history."""
+    inside = F.col("sd").between(0, 1) & F.col("sp").between(0, 1)
+    sizes = Observation()
+    state = cut(
+        propagate.initial_state(network.nodes, shocks, scenarios).withColumn("xdem", F.col("x0")),
+        False, sizes,
+        F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside"), F.max(F.abs("x0")).alias("largest"),
+    )
+    if sizes.get["outside"]:
+        raise ValueError(f"{sizes.get['outside']} rows of shocks have sd or sp missing or outside [0, 1]")
+    scale = required.largest(sizes) or 1.0
+    ratio = required.shrink_ratio(network) if inner_rounds is None and requirements is None else 0.0
+    with joined_by_block(state.sparkSession):
+        missed = Observation()
+        change = cut(required.residual(network, state), False, missed, F.max(F.abs("v")).alias("largest"))
+    # The first guess, baseline output, is all that is required unless demand is shocked.
+    met = required.largest(missed) < inner_tol * scale
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
-    seen: list[DataFrame] = []
+    history: list[DataFrame] = []
     for iteration in range(1, max_iter + 1):
-        if inner_rounds is None:
-            correction = required.solve(edges, change, scale, inner_tol, ratio, maybe_done=iteration == 1)
+        if requirements is not None:
+            correction = required.required_output(requirements, change)
+        elif inner_rounds is not None:
+            correction = required.rounds(network, change, inner_rounds)
+        elif iteration == 1 and met:
+            correction = change
         else:
-            correction = settle(required.rounds(edges, change, inner_rounds))
-        stepped = cut(propagate.step(edges, required.add_to_guess(state, correction), gamma))
-        gap = demand_gap(stepped).withColumn("iteration", F.lit(iteration))
-        gaps.append(gap)
+            correction = required.solve(network, change, scale, inner_tol, ratio)
+        stepped = cut(propagate.step(network, required.add_to_guess(state, correction), gamma))
         if return_history:
-            seen.append(
-                stepped.select(
-                    "scenario_id", F.lit(iteration).alias("iteration"), "node", "fd", "fd_implied", "xs"
-                )
+            history.append(
+                stepped.select("scenario_id", F.lit(iteration).alias("iteration"), "node", "fd", "fd_implied", "xs")
             )
-        settled = F.col("gap") < tol
-        unsettled = gap.filter(~settled).select("scenario_id")
-        still_active = unsettled.count()
-        last = iteration == max_iter or still_active == 0
-        if last or still_active < active:
+        settled, counts = F.col("gap") < tol, Observation()
+        gap = cut(
+            demand_gap(stepped).withColumn("iteration", F.lit(iteration)),
+            True, counts, F.count("*").alias("all"), F.count_if(~settled).alias("open"),
+        )
+        gaps.append(gap)
+        last = iteration == max_iter or not counts.get["open"]
+        if last or counts.get["open"] < counts.get["all"]:
             leaving = gap if last else gap.filter(settled)
             finished.append(
                 stepped.join(
-                    leaving.select(
-                        "scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged")
-                    ),
+                    leaving.select("scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged")),
                     "scenario_id",
                 )
             )
-        if last:
-            break
-        if still_active < active:
-            stepped = stepped.join(unsettled, "scenario_id", "left_semi")
-            active = still_active
+            if last:
+                break
+            stepped = stepped.join(gap.filter(~settled).select("scenario_id"), "scenario_id", "left_semi")
         change = stepped.select("scenario_id", "node", (F.col("fd_next") - F.col("fd")).alias("v"))
         state = stepped.select(
             "scenario_id", "node", "globsec", "x0", "fd0", "z_row", "sd", "sp", "cap",
             F.col("fd_next").alias("fd"), "xdem",
         )
-    edges.unpersist()
-
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return StressResult(
-        network=network,
-        nodes=cut(union(finished)),
-        gaps=union(gaps),
-        history=union(seen) if return_history else None,
-        gamma=gamma,
-    )
+    return finished, gaps, history
 
 
-def demand_diagnostics(result: StressResult) -> DataFrame:
-    """Per scenario: demand totals, largest unmet and largest slack demand."""
+def demand_diagnostics(state: DataFrame) -> DataFrame:
+    """Per scenario of a result's ``nodes``: demand totals, largest unmet and largest slack demand."""
     unmet = F.col("fd_next") - F.col("fd_implied")
-    return result.nodes.groupBy("scenario_id", "iterations", "converged").agg(
+    return state.groupBy("scenario_id", "iterations", "converged").agg(
         F.sum("fd0").alias("fd_baseline"),
         F.sum("fd_next").alias("fd_final"),
         F.sum("fd_implied").alias("fd_implied"),

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _local_folder: str | None = None
+_scratch: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,25 +36,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shockweave-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return the written table.
+def _files(spark: SparkSession, path: str):
+    """The path's file system and the path in it, None in a session that has no access to them."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
-    Unlike a cached or locally checkpointed plan the table outlives any
-    executor, and its exact size lets Spark choose broadcast or sort-merge for
-    the joins that follow. The schema is passed on, so no footer is read.
+
+def absent(spark: SparkSession, path: str) -> bool:
+    """True if there is certainly nothing at ``path``."""
+    files = _files(spark, path)
+    return files is not None and not files[0].exists(files[1])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's files; a session without access to its file systems leaves them."""
+    files = _files(spark, path)
+    if files is not None:
+        files[0].delete(files[1], True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``cut`` writes inside are removed at the end, but those it is told to keep.
+
+    What is returned from inside must not read the others.
     """
-    path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        written = _scratch.get()
+        _scratch.reset(token)
+        for spark, path in written or ():
+            remove(spark, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
+def cut(df: DataFrame, keep: bool = False, seen: Observation | None = None, *measures) -> DataFrame:
+    """Write ``df`` once and return the written table.
 
-    Cheaper than ``cut`` for loop state that the next few jobs read whole, and
-    as safe, but without the exact statistics of a written table.
+    Unlike a cached or locally checkpointed plan the table outlives any
+    executor, and its exact size lets Spark choose broadcast or sort-merge for
+    the joins that follow. The schema is passed on, so no footer is read.
+    ``measures`` are observed in ``seen`` while the table is written.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_path(spark, "table")
+    written = _scratch.get()
+    if written is not None and not keep:
+        written.append((spark, path))
+    (df.observe(seen, *measures) if seen is not None else df).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

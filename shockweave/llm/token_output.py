@@ -10,22 +10,19 @@ File: 8 bytes magic, 32 bytes SHA-256 of the dictionary, 1 byte id width, the fr
 index (per document: id, whether the id is null, offset, length, number of ids), then the
 index's offset and the number of documents.
 
-The tokenizer drops white space and never joins what white space separates, so its result
-for a text is that for its pieces in a row; ids of pieces are remembered between documents.
+Texts are encoded by ``bpe``, which refuses tokenizer files it cannot encode exactly.
 
 Defined results: a null or empty text has the end id only; rows without doc_id come first;
-repeated rows are written as often as they stand there, ties ordered by text; a table
+repeated rows are written as often as they stand there, ties ordered by a hash of the text; a table
 without rows gives no shards; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shockweave.llm.bpe import Vocabulary, encoder
 from shockweave.llm.files import get, opened, put
 from shockweave.llm.tables import slices, texts_of
 from shockweave.storage import cut, fresh_path
@@ -45,66 +43,21 @@ SAMPLE_DOCS = 1000
 SAMPLE_IDS = 2048
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-#: Pieces, and words in them, that a worker remembers before it starts anew.
-REMEMBERED = 800_000
-TAIL = b".,!?;:#$%&*|"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_ids", "<u4")])
 MANIFEST = "shard int, path string, documents long, ids long, bytes long"
 
 
-class Encoder:
-    """A tokenizer with a memory of pieces; ids are little-endian unsigned 32-bit integers."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {b"": b""}
-
-    @staticmethod
-    def parts(piece: bytes) -> tuple[bytes, bytes]:
-        """Letters and the punctuation after them, which never share a token."""
-        core = piece.rstrip(TAIL)
-        if core.isalpha():
-            return core.lower(), piece[len(core) :]
-        if len(core) < len(piece) and core.decode("utf-8", "replace").isalpha():
-            return core, piece[len(core) :]
-        return piece, b""
-
-    def learn(self, pieces: set[bytes]) -> None:
-        split = {p: self.parts(p) for p in pieces}
-        new = [c for c in {x for pair in split.values() for x in pair} if c not in self.cores]
-        if len(self.cores) + len(new) > REMEMBERED:
-            self.cores = {b"": b""}
-            new = list({x for pair in split.values() for x in pair} - {b""})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-            self.cores[c] = array("I", e.ids).tobytes()  # little-endian on all that Spark runs on
-        for p, (core, tail) in split.items():
-            self.known[p] = self.cores[core] + self.cores[tail]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(set().union(*pieces) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoded(path: str, texts: list[bytes]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers."""
+    ids, starts = encoder(path)(texts)
+    raw = ids.astype("<u4").tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = [x[: 4 * SAMPLE_IDS] for x in encoder(path)(texts_of(batch.column("text")))]
+            ids = [x[: 4 * SAMPLE_IDS] for x in encoded(path, texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     return run
@@ -135,7 +88,7 @@ def zstd_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _written(folder: str, tokenizer: str, end_id: int, width: int, dictionary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        shard = TaskContext.get().partitionId()
         data = dictionary.value
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstd_dictionary(data), write_content_size=True)
         path, out, index, end = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids", None, [], struct.pack("<I", end_id)
@@ -145,7 +98,7 @@ def _written(folder: str, tokenizer: str, end_id: int, width: int, dictionary):
                 out = fs.open_output_stream(at, compression=None)
                 place = out.write(MAGIC + hashlib.sha256(data).digest() + bytes([width]))
             rows = np.zeros(len(batch), INDEX)
-            ids = [x + end for x in encode(texts_of(batch.column("text")))]
+            ids = [x + end for x in encoded(tokenizer, texts_of(batch.column("text")))]
             frames = [press.compress(packed(x, width)) for x in ids]
             names = batch.column("doc_id")
             rows["doc_id"], rows["no_id"] = names.fill_null(0).to_numpy(), names.is_null().to_numpy(False)
@@ -172,12 +125,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = folder or fresh_path(spark, "ids")
-    width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(len(Vocabulary(tokenizer).sizes), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer, width)
     put(f"{folder}/{hashlib.sha256(dictionary).hexdigest()}.dictionary", dictionary)
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    placed = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return cut(placed.mapInArrow(_written(folder, tokenizer, end_id, width, shared), MANIFEST))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shockweave.functions.labels import label_country, label_sector, resolve_pair
 from shockweave.functions.numeric import lenient_double, zero_if_null
-from shockweave.operators.quantiles import nearest_quantiles
+from shockweave.operators.quantiles import beside, nearest_quantiles
 from shockweave.storage import cut
 
 # Column pairs that may hold the two ends of a link.
@@ -46,15 +46,9 @@ def heatmap_cells(
 
 
 def _zero_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, n_zeros)``: grid cells without a row. Each axis is deduplicated before it is counted."""
-    rows = cells.select(*keys, "src").distinct().groupBy(*keys).agg(F.count("*").alias("_rows"))
-    cols = cells.select(*keys, "dst").distinct().groupBy(*keys).agg(F.count("*").alias("_cols"))
-    listed = cells.groupBy(*keys).agg(F.count("*").alias("_listed"))
-    return (
-        rows.join(cols, keys)
-        .join(listed, keys)
-        .select(*keys, (F.col("_rows") * F.col("_cols") - F.col("_listed")).alias("n_zeros"))
-    )
+    """``(keys, n_zeros)``: grid cells without a row, from one aggregation that deduplicates both axes first."""
+    grid = F.count_distinct("src") * F.count_distinct("dst")
+    return cells.groupBy(*keys).agg((grid - F.count("*")).alias("n_zeros"))
 
 
 def heatmap(
@@ -81,39 +75,24 @@ def with_intensity(
     clip: float = 0.98,
 ) -> DataFrame:
     """``min(|value| / cap, 1)`` and ``value`` limited to plus or minus the clip limit."""
-    group = list(keys) or ["_all"]
-    work = cells if keys else cells.withColumn("_all", F.hash("value").bitwiseAND(F.lit(0)))  # a key, so joins need no nested loops
-    found = nearest_quantiles(
-        work.withColumn("_abs", F.abs("value")),
-        group,
-        "_abs",
-        {"cap": cap, "clip_limit": clip},
-        zeros=_zero_cells(work, group),
-    )
-    limits = found.groupBy(*group).agg(
-        F.max(F.when(F.col("name") == "cap", F.col("quantile"))).alias("_cap"),
-        F.max(F.when(F.col("name") == "clip_limit", F.col("quantile"))).alias("clip_limit"),
-    )
+    group = list(keys)
+    sized = cells.select(*group, F.abs("value").alias("_abs"))
+    limits = nearest_quantiles(sized, group, "_abs", {"_cap": cap, "clip_limit": clip}, _zero_cells(cells, group))
     intensity = F.when(F.col("_cap") > 0, F.least(F.try_divide(F.abs("value"), F.col("_cap")), F.lit(1.0)))
     limit = F.col("clip_limit")
     clipped = F.when(limit > 0, F.least(F.greatest(F.col("value"), -limit), limit)).otherwise(F.col("value"))
     return (
-        work.join(limits, group)
+        beside(cells, limits, group)
         .withColumn("intensity", F.coalesce(intensity, F.lit(0.0)))
         .withColumn("clipped", clipped)
-        .drop("_cap", "_all")
+        .drop("_cap")
     )
 
 
 def clip_limits(cells: DataFrame, keys: Sequence[str], clip: float = 0.98) -> DataFrame:
     """``(keys, clip_limit)``: symmetric clipping threshold of the full grid."""
-    return nearest_quantiles(
-        cells.withColumn("_abs", F.abs("value")),
-        keys,
-        "_abs",
-        {"clip_limit": clip},
-        zeros=_zero_cells(cells, list(keys)),
-    ).select(*keys, F.col("quantile").alias("clip_limit"))
+    sized = cells.select(*keys, F.abs("value").alias("_abs"))
+    return nearest_quantiles(sized, keys, "_abs", {"clip_limit": clip}, _zero_cells(cells, list(keys)))
 
 
 def as_matrix(cells: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), value: str = "value") -> DataFrame:

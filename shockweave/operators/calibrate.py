@@ -38,7 +38,8 @@ def constant_price_output(
         wanted = wanted.filter(F.col("year").isin(*[int(y) for y in years]))
     # Keys are unique per unit, so a grouped maximum is the pivot cell; groups
     # whose cells are all missing disappear, as they would from a pivot.
-    series = (
+    # Written, as price levels, deflators and rows all read it: cells are scanned once.
+    series = cut(
         wanted.filter(nan_to_null("value").isNotNull())
         .groupBy("geo", "year")
         .agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from math import ceil, sqrt
@@ -64,29 +64,34 @@ def account_nodes(flows: DataFrame) -> DataFrame:
     )
 
 
+def ranked(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order of ``order`` as column ``name``.
+
+    Sorted by ranges and written once with the place inside the range; the number of rows
+    in the ranges before, of which there are as many as partitions, is added. No task sorts
+    more than its range.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_inside", inside))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_inside")).cast("int").alias(name)
+    return placed.join(F.broadcast(offsets), "_range").select(*rows.columns, place)  # one row a partition
+
+
 def numbered(accounts: DataFrame) -> DataFrame:
-    """Adds ``node``, ``label`` and ``globsec``, numbering by (country, sector) from 0.
+    """Adds ``node``, ``label`` and ``globsec``: places in the orders of (country, sector) and of sectors.
 
-    The number is the rank inside the country plus the number of nodes in the
-    countries before it, so no task sorts the whole table; only the lists of
-    countries and of sectors are ranked as a whole. ``accounts`` is read three
-    times and should be a written table.
+    ``accounts`` is read twice and should be a written table.
     """
-    whole = W.orderBy("country").rowsBetween(W.unboundedPreceding, -1)
-    offsets = accounts.groupBy("country").agg(F.count("*").alias("n")).select(
-        "country", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("offset")
-    )
-    sectors = accounts.select("sector").distinct().select(
-        "sector", (F.row_number().over(W.orderBy("sector")) - 1).alias("globsec")
-    )
-    inside = F.row_number().over(W.partitionBy("country").orderBy("sector"))
+    sectors = ranked(accounts.select("sector").distinct(), ["sector"], "globsec")
     return (
-        accounts.withColumn("rank", inside)
-        .join(offsets, "country")
+        ranked(accounts, ["country", "sector"], "node")
         .join(sectors, "sector")
-        .withColumn("node", (F.col("offset") + F.col("rank") - 1).cast("int"))
         .withColumn("label", node_label("country", "sector"))
-        .drop("offset", "rank")
+        .select("sector", "country", *[c for c in accounts.columns if c not in ("sector", "country")], "globsec", "node", "label")
     )
 
 

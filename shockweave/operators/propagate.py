@@ -26,9 +26,8 @@ from shockweave.operators.network import Network, joined_by_block
 from shockweave.operators.shocks import per_node
 from shockweave.storage import cut
 
-# Producers of one sector are copied this many times when pairs are written
-# out, so that one hot (scenario, sector) is split over as many tasks.
-PAIR_SALTS = 16
+# Pairs of holders and users that a task writes, about; a sector with more is spread over several.
+PAIRS_PER_TASK = 1 << 18
 
 
 def initial_state(nodes: DataFrame, shocks: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
@@ -255,28 +254,34 @@ def step_totals(flows: DataFrame, stepped: DataFrame) -> DataFrame:
     )
 
 
+def pair_salts(holders: DataFrame, users: DataFrame) -> DataFrame:
+    """``(scenario_id, globsec, salts)``: parts that a sector's users are dealt to.
+
+    From the counted pairs of each scenario and sector, so a small sector is not copied and
+    a hot one is spread over as many tasks as its pairs take.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = holders.select("scenario_id", "globsec", one.alias("h"), none.alias("u")).unionByName(
+        users.select("scenario_id", "globsec", none.alias("h"), one.alias("u"))
+    )
+    counted = ends.groupBy("scenario_id", "globsec").agg(F.sum("h").alias("h"), F.sum("u").alias("u"))
+    salts = F.least(F.ceil(F.col("h") * F.col("u") / PAIRS_PER_TASK), F.col("u"))
+    return counted.filter((F.col("h") > 0) & (F.col("u") > 0)).select("scenario_id", "globsec", salts.cast("int").alias("salts"))
+
+
 def reallocated_pairs(stepped: DataFrame, supply: DataFrame) -> DataFrame:
     """``(scenario_id, i, j, added)``: deliveries of a sector's inventory holders to its users.
 
     Every pair is a row of the result, as each holder serves each user in
-    proportion to its share. Users are salted and holders copied per salt, so
-    a sector with a large part of all nodes does not end up in one task.
+    proportion to its share. Users are dealt to the sector's salts and holders copied to each.
     """
-    holders = stepped.filter(F.col("inv_share") * F.col("frac") > 0).select(
-        "scenario_id",
-        "globsec",
-        F.col("node").alias("i"),
-        "inv_share",
-        F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).alias("salt"),
-    )
-    users = supply.filter(F.col("delivered") > 0).select(
-        "scenario_id",
-        "globsec",
-        F.col("node").alias("j"),
-        "delivered",
-        (F.col("node") % PAIR_SALTS).alias("salt"),
-    )
-    return holders.join(users, ["scenario_id", "globsec", "salt"]).select(
+    sector = ["scenario_id", "globsec"]
+    holders = stepped.filter(F.col("inv_share") * F.col("frac") > 0).select(*sector, F.col("node").alias("i"), "inv_share")
+    users = supply.filter(F.col("delivered") > 0).select(*sector, F.col("node").alias("j"), "delivered")
+    salts = cut(pair_salts(holders, users))
+    copied = holders.join(salts, sector).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = users.join(salts, sector).withColumn("salt", F.pmod(F.hash("j"), F.col("salts")))
+    return copied.drop("salts").join(dealt.drop("salts"), [*sector, "salt"]).select(
         "scenario_id", "i", "j", (F.col("inv_share") * F.col("delivered")).alias("added")
     )
 
@@ -284,12 +289,13 @@ def reallocated_pairs(stepped: DataFrame, supply: DataFrame) -> DataFrame:
 def reallocated_edges(net: Network, stepped: DataFrame) -> DataFrame:
     """``(scenario_id, i, j, z0, z1)``: baseline and new flow of every edge with either.
 
-    ``stepped`` is the output of ``step``. Base flows and deliveries are two
-    contributions to one sum, which also aligns baseline and final edges.
+    ``stepped`` is the output of ``step``. Edges meet the scenarios once; base flows and
+    deliveries are two contributions to one sum, which also aligns baseline and final edges.
     """
-    flows = edge_flows(net, stepped)
+    with joined_by_block(stepped.sparkSession):
+        flows = cut(edge_flows(net, stepped).select("scenario_id", "i", "j", "globsec", "z", "t", "base", "unmet"))
     balance = stepped.select("scenario_id", "globsec", "frac").distinct()
-    inputs = inputs_by_sector(edge_sums(flows))
+    inputs = cut(inputs_by_sector(edge_sums(flows)))
     added = reallocated_pairs(stepped, sector_supply(inputs, balance))
     return (
         flows.select("scenario_id", "i", "j", F.col("z").alias("z0"), F.col("base").alias("z1"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shockweave.functions.labels import is_production
 from shockweave.functions.numeric import ratio_nonzero
 from shockweave.operators.shocks import SCENARIO_SCHEMA
+from shockweave.storage import cut
 
 YEARS = tuple(range(1995, 2002))
 BASE_YEAR = 2001
@@ -156,35 +157,36 @@ def with_shares(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     return flows.join(users, ["c_dest", "ind_use"], "left").withColumn("share", share).drop("x")
 
 
-def losses_by_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned goods per country, one column per order priority."""
-
-    def loss(priority: str) -> Column:
-        hit = (F.col("returnflag") == "R") & (F.col("priority") == priority)
-        return F.sum(F.when(hit, F.col("price")).otherwise(0.0))
+def trade_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, volumes and returned goods by country, year and order priority, written once.
 
-    return (
+    All that calibration needs is a sum of these few rows, so order lines are joined and
+    scanned once for losses by hazard, losses by year and output.
+    """
+    returned = F.when(F.col("returnflag") == "R", F.col("price")).otherwise(0.0)
+    return cut(
         flow_lines(spark, sf_dir)
-        .groupBy(F.col("c_dest").alias("ISO2"))
-        .agg(*[loss(p).alias(h) for h, p in HAZARD_OF_PRIORITY.items()])
+        .groupBy("c_dest", "dest_key", "time_period", "priority")
+        .agg(F.sum("price").alias("price"), F.sum("volume").alias("volume"), F.sum(returned).alias("returned"))
     )
 
 
-def losses_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned goods per country, one column per year."""
+def _losses(facts: DataFrame, by: str, columns: dict[str, object]) -> DataFrame:
+    sums = [F.sum(F.when(F.col(by) == v, F.col("returned")).otherwise(0.0)).alias(n) for n, v in columns.items()]
+    return facts.groupBy(F.col("c_dest").alias("ISO2")).agg(*sums)
 
-    def loss(year: int) -> Column:
-        hit = (F.col("returnflag") == "R") & (F.col("time_period") == year)
-        return F.sum(F.when(hit, F.col("price")).otherwise(0.0))
 
-    return (
-        flow_lines(spark, sf_dir)
-        .groupBy(F.col("c_dest").alias("ISO2"))
-        .agg(*[loss(y).alias(f"y{y}") for y in YEARS])
-    )
+def losses_by_hazard(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Returned goods per country, one column per order priority."""
+    return _losses(trade_facts(spark, sf_dir) if facts is None else facts, "priority", HAZARD_OF_PRIORITY)
+
+
+def losses_by_year(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Returned goods per country, one column per year."""
+    return _losses(trade_facts(spark, sf_dir) if facts is None else facts, "time_period", {f"y{y}": y for y in YEARS})
 
 
-def output_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def output_cells(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """``(geo, year, unit, value)``; some cells are left out to exercise the fallbacks."""
     key, year = F.col("dest_key"), F.col("time_period")
     shown = ~((key % 7 == 3) & (year == 1995))
@@ -194,7 +196,7 @@ def output_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(with_volume, F.struct(F.lit("CLV20_MEUR").alias("unit"), F.col("volume").alias("v"))),
     )
     return (
-        flow_lines(spark, sf_dir)
+        (trade_facts(spark, sf_dir) if facts is None else facts)
         .filter(shown)
         .select(F.col("c_dest").alias("geo"), year.alias("year"), F.explode(units).alias("u"))
         .filter(F.col("u").isNotNull())

@@ -512,6 +512,10 @@ def _finals() -> dict[str, str]:
     q["coefficient_check"] = f"""SELECT e.i, e.j, {rate('e.a * 1.01', 8, 'share')}, {rate('e.a', 8, 'derived')},
           {rate('abs(e.a * 1.01 - e.a)', 8, 'gap')}
         FROM edges e JOIN ids a ON a.node = e.i JOIN ids b ON b.node = e.j WHERE {off} AND abs(e.a * 1.01 - e.a) > 1e-6"""
+    q["flows_from_catalog"] = _select(
+        ["c_orig", "ind_ava", "c_dest", "ind_use", plain("SUM(value)", "value")], "net_flow",
+        "GROUP BY c_orig, ind_ava, c_dest, ind_use")
+    q["decoder_from_catalog"] = "SELECT * FROM decoder"
     q["global_technology"] = _select(["globsec", "j", rate("ag")], "tech")
     q["sector_decoder"] = "SELECT * FROM decoder WHERE sector IN (SELECT sector FROM accounts)"
     q["node_names"] = """SELECT concat(a.country, '::', a.sector) AS label, coalesce(d.sector_name, a.sector) AS sector_name,
@@ -556,6 +560,8 @@ def _finals() -> dict[str, str]:
         ["ISO2", "year", "hazard", rate("intensity", 10)], "panel", "WHERE year IN (1996, 1999)")
     levels = ("moderate", "severe", "extreme", "very_extreme")
     q["percentile_table"] = _select(["ISO2", "hazard", *[rate(n, 10) for n in levels]], "percentiles")
+    q["percentiles_kept"] = q["percentile_table"]
+    q["losses_from_files"] = q["intensity_panel"]
     q["scenario_grid"] = "SELECT * FROM grid"
     q["shock_scalars"] = _select(
         [s, "ISO2", "hazard", "level", rate("least(scalar, 0.06)", 10, "scalar")], "scalars")
@@ -669,6 +675,16 @@ def _finals() -> dict[str, str]:
                        top("changes_a", direction, 20))
 
     q["links_combined"] = side("ASC", "Weakened") + " UNION ALL " + side("DESC", "Strengthened")
+    bundled = {
+        "nodes": ("impacts", "loss_abs", 0), "country": ("by_country", "loss_abs", 0), "sector": ("by_sector", "loss_abs", 0),
+        "links_all": ("changes_a", "delta", 3), "links_weakened": (f"(SELECT * FROM {top('changes_a', 'ASC', 25)} WHERE delta < 0)", "delta", 3),
+        "links_strengthened": (f"(SELECT * FROM {top('changes_a', 'DESC', 25)} WHERE delta > 0)", "delta", 3),
+    }
+    q["result_bundle"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, scenario_id, CAST(count(*) AS INTEGER) AS n_rows, {rate(f'SUM({m})', k, 'total')} FROM {t} GROUP BY scenario_id"
+        for n, (t, m, k) in bundled.items()
+    ) + f""" UNION ALL SELECT 'totals', scenario_id, CAST(1 AS INTEGER), {rate('SUM(X_baseline) - SUM(X_final)', 0, 'total')}
+        FROM impacts GROUP BY scenario_id"""
     heat = [rate(x, 7) for x in ("value", "intensity", "clip_limit", "clipped")]
     for name, cells in (("heatmap_sector", "sector"), ("heatmap_country", "country"),
                         ("heatmap_country_percentage", "country_pct"), ("heatmap_node", "node")):

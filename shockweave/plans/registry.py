@@ -8,6 +8,7 @@ state read one run, which is computed once for given input files and parameters.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ from shockweave.operators import (
     shocks,
 )
 from shockweave.plans import fixtures as fx
-from shockweave.plans import stress
+from shockweave.plans import stress, suite
 from shockweave.sources import bundle, cube, dims, flows, sinks
-from shockweave.sources.losses import HAZARDS
+from shockweave.sources.losses import HAZARD_COLUMNS, HAZARDS, read_losses
 from shockweave.storage import cut, fresh_path
 
 GAMMA = 0.5
@@ -172,6 +173,28 @@ def global_technology(spark, sf_dir):
 # --- code dimensions --------------------------------------------------------
 
 
+def _catalogued(df: DataFrame, name: str) -> str:
+    """A catalog table of ``df`` with its files in the shared folder; its name."""
+    path = fresh_path(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.option("path", path).saveAsTable(table)
+    return table
+
+
+@query
+def flows_from_catalog(spark, sf_dir):
+    """The newest period of a flow table in the catalog, summed to account pairs."""
+    table = _catalogued(fx.flow_table(spark, sf_dir), "flows")
+    pairs = flows.compact_flows(flows.load_latest_flows(spark, table))
+    return pairs.select("c_orig", "ind_ava", "c_dest", "ind_use", plain("value"))
+
+
+@query
+def decoder_from_catalog(spark, sf_dir):
+    """Sector names from a code dimension in the catalog."""
+    return dims.sector_decoder(dims.read_dimension(spark, _catalogued(fx.code_dimension(spark, sf_dir), "codes")))
+
+
 @query
 def sector_decoder(spark, sf_dir):
     nodes = network.account_nodes(_newest(spark, sf_dir))
@@ -230,8 +253,8 @@ def cube_quarantine(spark, sf_dir):
 # --- output and calibration -------------------------------------------------
 
 
-def _output(spark, sf_dir) -> DataFrame:
-    return calibrate.constant_price_output(fx.output_cells(spark, sf_dir), base_year=fx.BASE_YEAR)
+def _output(spark, sf_dir, facts: DataFrame | None = None) -> DataFrame:
+    return calibrate.constant_price_output(fx.output_cells(spark, sf_dir, facts), base_year=fx.BASE_YEAR)
 
 
 @query
@@ -278,10 +301,11 @@ def annual_losses(spark, sf_dir):
     return calibrate.annual_losses(fx.losses_by_year(spark, sf_dir)).select("ISO2", "year", plain("loss_total"))
 
 
-def _panel(spark, sf_dir) -> DataFrame:
-    return calibrate.intensity_panel(
-        fx.losses_by_hazard(spark, sf_dir), fx.losses_by_year(spark, sf_dir), _output(spark, sf_dir)
-    )
+def _panel(spark, sf_dir, years: list[int] | None = None) -> DataFrame:
+    """Losses and output from one scan of the order lines."""
+    facts = fx.trade_facts(spark, sf_dir)
+    by_hazard, by_year = fx.losses_by_hazard(spark, sf_dir, facts), fx.losses_by_year(spark, sf_dir, facts)
+    return calibrate.intensity_panel(by_hazard, by_year, _output(spark, sf_dir, facts), years=years)
 
 
 @query
@@ -293,10 +317,7 @@ def intensity_panel(spark, sf_dir):
 
 @query
 def intensity_panel_years(spark, sf_dir):
-    panel = calibrate.intensity_panel(
-        fx.losses_by_hazard(spark, sf_dir), fx.losses_by_year(spark, sf_dir), _output(spark, sf_dir), years=[1996, 1999]
-    )
-    return panel.select("ISO2", "year", "hazard", rate("intensity", 10))
+    return _panel(spark, sf_dir, [1996, 1999]).select("ISO2", "year", "hazard", rate("intensity", 10))
 
 
 def _percentiles(spark, sf_dir) -> DataFrame:
@@ -310,6 +331,33 @@ def percentile_table(spark, sf_dir):
     )
 
 
+@query
+def percentiles_kept(spark, sf_dir):
+    """The percentile table computed once for given input files and read from then on."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in FLOW_INPUTS]
+    parameters = {"levels": calibrate.INTENSITY_LEVELS, "min_years": fx.MIN_YEARS, "base_year": fx.BASE_YEAR}
+    table = bundle.kept(spark, "percentiles", inputs, parameters, lambda: {"table": _percentiles(spark, sf_dir)})["table"]
+    return table.select("ISO2", "hazard", *[rate(level, 10) for level in calibrate.INTENSITY_LEVELS])
+
+
+@query
+def losses_from_files(spark, sf_dir):
+    """Loss tables written as CSV with their published titles, read back with a schema, to intensities."""
+    facts = fx.trade_facts(spark, sf_dir)
+    titles = {name: title for title, name in HAZARD_COLUMNS.items()}
+    tables = {
+        "hazard": fx.losses_by_hazard(spark, sf_dir, facts).withColumnsRenamed(titles),
+        "year": fx.losses_by_year(spark, sf_dir, facts).withColumnsRenamed({f"y{y}": str(y) for y in fx.YEARS}),
+    }
+    paths = {name: fresh_path(spark, f"losses-{name}") for name in tables}
+    for name, df in tables.items():
+        sinks.write_csv(df, paths[name])
+    schema = {n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for n, df in tables.items()}
+    by_hazard, by_year = read_losses(spark, paths["hazard"], paths["year"], "csv", schema["hazard"], schema["year"])
+    panel = calibrate.intensity_panel(by_hazard, by_year, _output(spark, sf_dir, facts))
+    return panel.select("ISO2", "year", "hazard", money("loss_hazard"), money("output_mn_eur"), rate("intensity", 10))
+
+
 @query
 def scenario_grid(spark, sf_dir):
     countries = fx.table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"))
@@ -710,6 +758,29 @@ def links_combined(spark, sf_dir):
     return table.select("scenario_id", "edge", "direction", rate("delta_pp", 6), rate("delta_rel_pct", 4))
 
 
+@query
+def result_bundle(spark, sf_dir):
+    """All tables of a settled run published together, read back by the manifest: rows and sums of each."""
+    run = _settled(spark, sf_dir)
+    tables = suite.tables_of(
+        run["state"], run["nodes"], run["flows"], dims.sector_decoder(fx.code_dimension(spark, sf_dir)),
+        fx.country_dimension(spark, sf_dir), employment_per_output=run["nodes"].select("node", "sector").join(
+            fx.employment_intensity(spark, sf_dir), "sector"), min_abs_delta=MOVED["A"],
+    )
+    # Of the ranked links those that moved to their side; the others are ties at 0.
+    tables["links_weakened"] = tables["links_weakened"].filter("delta < 0")
+    tables["links_strengthened"] = tables["links_strengthened"].filter("delta > 0")
+    folder = fresh_path(spark, "bundle")
+    bundle.publish(tables, folder)
+    measure = {"totals": "X_loss_abs_total"} | {n: "delta" for n in tables if n.startswith("links")}
+    parts = [
+        df.groupBy("scenario_id").agg(F.count("*").cast("int").alias("n_rows"), F.sum(measure.get(name, "loss_abs")).alias("m"))
+        .select(F.lit(name).alias("table_name"), "scenario_id", "n_rows", rate("m", 3 if measure.get(name) == "delta" else 0).alias("total"))
+        for name, df in sorted(bundle.read_bundle(spark, folder).items())
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- heatmap ----------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("SHOCKWEAVE_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = [
     "latest_period_flows", "final_demand_output", "coefficient_check", "node_names", "cube_dispatch",
     "percentile_table", "targeted_shocks", "first_step_state", "feasible_state_k2", "country_impact",
-    "links_combined", "heatmap_node", "map_table", "viewport_drop",
+    "links_combined", "heatmap_node", "map_table", "viewport_drop", "feasible_state_converged", "percentiles_kept",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("SHOCKWEAVE_ALL") else SAMPLE
 
@@ -28,5 +28,5 @@ def test_query_equals_sql(spark, con, name):
     assert problem is None, problem
 
 
-def test_every_query_but_the_converged_run_has_sql():
-    assert set(QUERIES) - set(entry.oracle_sql()) == {"feasible_state_converged"}
+def test_every_query_has_sql():
+    assert not set(QUERIES) - set(entry.oracle_sql())

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from shockweave.operators import calibrate
-from shockweave.sources import cube, flows, losses, sinks
+from shockweave import storage
+from shockweave.sources import bundle, cube, flows, losses, sinks
 
 GRID = {"id": ["unit", "geo", "time"], "size": [1, 2, 2]}
 
@@ -142,3 +143,44 @@ def test_empty_and_undecodable_grids(spark):
     payloads = spark.createDataFrame(rows, "payload_id string, body string")
     assert [(r["payload_id"], r["value"]) for r in cube.payloads_to_long(payloads).collect()] == [("fine", 2.5)]
     assert {r["payload_id"] for r in cube.quarantined(payloads).collect()} == {"scalar", "codeless", "sizes"}
+
+
+def test_kept_results_follow_their_inputs(spark, tmp_path):
+    source, folder, calls = str(tmp_path / "input"), str(tmp_path / "kept"), []
+    spark.range(3).write.parquet(source)
+
+    def compute():
+        calls.append(1)
+        return {"total": spark.read.parquet(source).groupBy().sum("id").toDF("s"), "all": spark.read.parquet(source)}
+
+    def total(**parameters):
+        return bundle.kept(spark, "sums", [source], parameters, compute, folder)["total"].first()["s"]
+
+    assert [total(k=1), total(k=1)] == [3, 3] and len(calls) == 1
+    assert total(k=2) == 3 and len(calls) == 2
+    spark.range(10, 12).write.mode("append").parquet(source)
+    assert [total(k=1), total(k=1)] == [24, 24] and len(calls) == 3
+
+
+def test_bundles_are_seen_whole(spark, tmp_path):
+    folder = str(tmp_path / "bundle")
+    assert bundle.read_bundle(spark, folder) is None
+    bundle.publish({"a": spark.range(2), "b": spark.range(0)}, folder)
+    first = bundle.read_bundle(spark, folder)
+    assert {n: df.count() for n, df in first.items()} == {"a": 2, "b": 0}
+    # A crashed publication leaves tables without a manifest, which nobody reads.
+    spark.range(9).write.parquet(f"{folder}/a-half")
+    assert bundle.read_bundle(spark, folder)["a"].count() == 2
+    bundle.publish({"a": spark.range(5)}, folder)
+    assert {n: df.count() for n, df in bundle.read_bundle(spark, folder).items()} == {"a": 5}
+    assert len([p for p in (tmp_path / "bundle").iterdir() if p.name.startswith(("a-", "b-"))]) == 2
+    with pytest.raises(ValueError):
+        bundle.publish({}, folder)
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    with storage.scratch():
+        storage.cut(spark.range(3))
+        kept = storage.cut(spark.range(4), keep=True)
+    assert kept.count() == 4 and len(list(tmp_path.iterdir())) == 1

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shockweave import storage
 from shockweave.operators import checks, impact, linkage, network, propagate, required, shocks
 from shockweave.plans import stress, suite
 from shockweave.sources import flows
@@ -233,3 +234,116 @@ def test_arguments_are_checked(spark, net):
     wild = spark.createDataFrame([("w", None, None, None, None, None, None, 120.0, 0.0)], shocks.SCENARIO_SCHEMA)
     with pytest.raises(Exception, match=r"supply_pct must be in \[0, 100\]"):
         shocks.targeted_shocks(wild, net.nodes).collect()
+
+
+def test_total_requirements_are_the_inverse(net, economy):
+    z, _, x = economy
+    inverse = np.linalg.inv(np.eye(N) - z / x)
+    got = np.zeros((N, N))
+    for r in required.total_requirements(net).collect():
+        got[r["i"], r["j"]] = r["v"]
+    np.testing.assert_allclose(got, inverse, atol=1e-14)
+    with pytest.raises(RuntimeError, match="do not vanish"):
+        required.total_requirements(replace(net, edges=net.edges.withColumn("a", F.lit(1.0))), most=3)
+
+
+def test_runs_with_requirements_match_those_without(spark, net, runs):
+    scenarios = spark.createDataFrame(SCENARIOS, shocks.SCENARIO_SCHEMA)
+    result = stress.run(
+        net, shocks.targeted_shocks(scenarios, net.nodes), gamma=0.4, max_iter=6, tol=1e-3,
+        scenarios=scenarios, requirements=required.total_requirements(net),
+    )
+    other = runs[0].nodes.select("scenario_id", "node", F.col("xs").alias("xs2"), F.col("iterations").alias("it2"))
+    both = result.nodes.join(other, ["scenario_id", "node"])
+    assert both.count() == N * len(SCENARIOS)
+    assert both.filter((F.abs(F.col("xs") - F.col("xs2")) > 1e-6) | (F.col("iterations") != F.col("it2"))).count() == 0
+
+
+def in_grid(net, side):
+    """The same network placed in a grid of ``side`` x ``side`` blocks."""
+    return replace(net, edges=network.in_blocks(net.edges.drop("block"), side), side=side)
+
+
+def test_blocks_change_nothing(spark, net, runs):
+    scenarios = spark.createDataFrame(SCENARIOS, shocks.SCENARIO_SCHEMA)
+    state = propagate.initial_state(net.nodes, shocks.targeted_shocks(scenarios, net.nodes), scenarios).withColumn("xdem", F.col("x0"))
+    rows = [
+        {(r["scenario_id"], r["node"]): r["xs"] for r in propagate.step(n, state, 0.4).collect()} for n in (net, in_grid(net, 4))
+    ]
+    assert rows[0].keys() == rows[1].keys()
+    assert all(rows[0][k] == pytest.approx(rows[1][k], rel=1e-12) for k in rows[0])
+
+
+def test_edges_are_not_shuffled(spark, net, runs):
+    grid = in_grid(net, 4)
+    state = runs[0].nodes.select("scenario_id", "node", "xdem", "x0", "row_factor", "r")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with network.joined_by_block(spark):
+            plans = [
+                df._jdf.queryExecution().executedPlan().toString()
+                for df in (
+                    propagate.edge_flows(grid, state),
+                    propagate.bottlenecks(grid, state),
+                    required.pull(grid, state.select("scenario_id", "node", F.col("xdem").alias("v"))),
+                )
+            ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in plans:
+        lines = plan.splitlines()
+        at = next(k for k, line in enumerate(lines) if "shockweave_edges" in line)
+        assert "SortMergeJoin" in plan and "SelectedBucketsCount" in lines[at]
+        # What the scan feeds up to its join holds no exchange.
+        depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+        for line in reversed(lines[:at]):
+            inner = len(line) - len(line.lstrip(" :+-"))
+            if inner < depth:
+                depth = inner
+                assert "Exchange" not in line, plan
+                if "Join" in line:
+                    break
+
+
+def test_shocks_list_hits_only(spark, net):
+    rows = [("a", ["BB"], ["P_1", "P_1"], None, None, None, None, 10.0, 0.0), ("b", None, None, None, None, ["CC"], [], 0.0, 7.0),
+            ("c", ["ZZ"], None, None, None, None, None, 5.0, 5.0), ("d", None, None, None, None, None, None, 0.0, 0.0)]
+    got = shocks.targeted_shocks(spark.createDataFrame(rows, shocks.SCENARIO_SCHEMA), net.nodes).collect()
+    assert {(r["scenario_id"], r["label"], r["sd"], r["sp"]) for r in got} == {("a", "BB::P_1", 0.0, 0.1)} | {
+        ("b", f"CC::{s}", 0.07, 0.0) for s in SECTORS
+    }
+    flat = spark.createDataFrame([("x", "AA", 0.2), ("y", "BB", 0.0), ("z", "??", 0.3)], "scenario_id string, ISO2 string, scalar double")
+    assert shocks.flat_shocks(flat, net.nodes).count() == len(SECTORS)
+
+
+def test_pairs_of_a_hot_sector_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(propagate, "PAIRS_PER_TASK", 10)
+    holders = [("s", 0, i, 0.05, 0.5) for i in range(20)] + [("s", 1, 100, 1.0, 0.5)]
+    users = [("s", 0, j, float(j + 1)) for j in range(30)] + [("s", 1, 7, 2.0), ("t", 0, 8, 2.0)]
+    stepped = spark.createDataFrame(holders, "scenario_id string, globsec int, node int, inv_share double, frac double")
+    supply = spark.createDataFrame(users, "scenario_id string, globsec int, node int, delivered double")
+    salts = {(r["scenario_id"], r["globsec"]): r["salts"] for r in propagate.pair_salts(stepped, supply).collect()}
+    assert salts == {("s", 0): 30, ("s", 1): 1}
+    got = propagate.reallocated_pairs(stepped, supply).collect()
+    assert len(got) == 601 and len({(r["i"], r["j"]) for r in got}) == 601
+    assert sum(r["added"] for r in got) == pytest.approx(sum(range(1, 31)) + 2.0)
+
+
+def test_places_over_ranges(spark):
+    rows = [(f"C{k % 7}", f"P_{k:03d}") for k in range(500)] + [("C3", f"Q_{k:03d}") for k in range(500)]
+    df = spark.createDataFrame(rows, "country string, sector string").repartition(6)
+    got = network.ranked(df, ["country", "sector"], "node").collect()
+    assert [(r["country"], r["sector"]) for r in sorted(got, key=lambda r: r["node"])] == sorted(rows)
+    assert sorted(r["node"] for r in got) == list(range(1000))
+    assert network.ranked(df.limit(0), ["country", "sector"], "node").collect() == []
+
+
+def test_tables_of_a_run_are_removed(spark, net, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    scenarios = spark.createDataFrame(SCENARIOS[:2], shocks.SCENARIO_SCHEMA)
+    vectors = shocks.targeted_shocks(scenarios, net.nodes)
+    result = stress.run(net, vectors, gamma=0.4, max_iter=2, tol=1e-3, inner_rounds=3, return_history=True, scenarios=scenarios)
+    iterations = result.gaps.select("iteration").distinct().count()
+    assert len(list(tmp_path.iterdir())) == 2 + iterations  # final state, history and a gap table an iteration
+    assert result.nodes.count() == 2 * N and result.history.count() > 0

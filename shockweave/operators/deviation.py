@@ -84,7 +84,7 @@ def map_table(countries: DataFrame, dim: DataFrame, metric: str = "loss_pct") ->
 def top_by(df: DataFrame, metric: str, name: str, k: int = 20, keys: Sequence[str] = ("scenario_id",)) -> DataFrame:
     """The ``k`` rows with the largest metric per scenario; ties go by ``name``."""
     if metric not in df.columns:
-        raise ValueError(f"table does not contain metric column '{metric}'")
+        raise ValueError(f"nothing to rank by: {metric!r} is not among {', '.join(df.columns)}")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(metric), name))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -31,38 +31,48 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _has(key: str) -> Column:
-    return F.get_json_object("body", f"$.{key}").isNotNull()
+#: Parts of a body by which its layout is known and read.
+PARTS = ("id", "size", "dimension", "value", "structure", "dataSets", "error")
 
 
-def with_format(payloads: DataFrame) -> DataFrame:
-    """Adds ``format``: ``sdmx``, ``jsonstat``, or ``error`` with a ``problem`` text."""
+def _opened(payloads: DataFrame) -> DataFrame:
+    """``payload_id``, ``body`` and the raw text of each of its parts, from one pass over the body."""
+    named = [f"p_{p}" for p in PARTS]
+    return payloads.select("payload_id", "body", F.json_tuple("body", *PARTS).alias(*named))
+
+
+def _tagged(opened: DataFrame) -> DataFrame:
+    """Adds ``format``, ``sdmx``, ``jsonstat`` or ``error``, and for errors their ``problem``."""
+    has = lambda part: F.col(f"p_{part}").isNotNull()
+    layout = F.when(has("structure") & has("dataSets"), "sdmx").when(has("dimension") & has("value"), "jsonstat")
     keys = F.array_join(F.json_object_keys("body"), ", ")
-    fmt = (
-        F.when(_has("structure") & _has("dataSets"), "sdmx")
-        .when(_has("dimension") & _has("value"), "jsonstat")
-        .otherwise("error")
-    )
-    problem = F.when(
-        F.col("format") == "error",
-        F.coalesce(
-            F.concat(F.lit("source reported: "), F.get_json_object("body", "$.error")),
-            F.concat(F.lit("unrecognised layout, keys: "), F.coalesce(keys, F.lit("none"))),
-        ),
+    unread = F.coalesce(
+        F.concat(F.lit("source reported: "), F.col("p_error")),
+        F.concat(F.lit("unrecognised layout, keys: "), F.coalesce(keys, F.lit("none"))),
     )
-    fault = F.when(F.col("format") == "jsonstat", _grid_fault())
-    tagged = payloads.withColumn("format", fmt).withColumn("problem", F.coalesce(problem, fault))
-    return tagged.withColumn("format", F.when(F.col("problem").isNull(), F.col("format")).otherwise("error"))
+    tagged = opened.withColumn("layout", layout)
+    problem = F.when(F.col("layout").isNull(), unread).when(F.col("layout") == "jsonstat", _grid_fault())
+    tagged = tagged.withColumn("problem", problem)
+    return tagged.withColumn("format", F.when(F.col("problem").isNull(), F.col("layout")).otherwise("error")).drop("layout")
+
+
+def with_format(payloads: DataFrame) -> DataFrame:
+    """Adds ``format``: ``sdmx``, ``jsonstat``, or ``error`` with a ``problem`` text."""
+    return _tagged(_opened(payloads)).select("payload_id", "body", "format", "problem")
+
+
+def _grid() -> tuple[Column, Column, Column]:
+    """Of a json-stat body: ids of the dimensions, their sizes, their ordered codes."""
+    dims = F.from_json("p_dimension", DIMENSIONS_SCHEMA)
+    ids = F.coalesce(F.from_json("p_id", "array<string>"), F.map_keys(dims))
+    return ids, F.from_json("p_size", "array<int>"), F.transform(ids, lambda d: _dimension_codes(dims[d]["category"]))
 
 
 def _grid_fault() -> Column:
     """What keeps a json-stat body from being decoded, NULL if nothing does."""
-    raw = F.get_json_object("body", "$.value")
-    sizes = F.from_json(F.get_json_object("body", "$.size"), "array<int>")
-    dims = F.from_json(F.get_json_object("body", "$.dimension"), DIMENSIONS_SCHEMA)
-    ids = F.coalesce(F.from_json(F.get_json_object("body", "$.id"), "array<string>"), F.map_keys(dims))
-    codes = F.transform(ids, lambda d: F.size(_dimension_codes(dims[d]["category"])))
-    short = F.exists(F.arrays_zip(codes.alias("n"), sizes.alias("size")), lambda c: F.coalesce(c["n"], F.lit(-1)) < c["size"])
+    raw, (ids, sizes, codes) = F.col("p_value"), _grid()
+    counts = F.transform(codes, lambda c: F.size(c))
+    short = F.exists(F.arrays_zip(counts.alias("n"), sizes.alias("size")), lambda c: F.coalesce(c["n"], F.lit(-1)) < c["size"])
     return (
         F.when(~(raw.startswith("{") | raw.startswith("[")), "values are neither a list nor a map")
         .when(F.coalesce(F.size(sizes) != F.size(ids), F.lit(True)), "sizes do not match the dimensions")
@@ -94,79 +104,61 @@ def _dimension_codes(category: Column) -> Column:
     )
 
 
-def jsonstat_to_long(payloads: DataFrame) -> DataFrame:
-    """``(payload_id, coords, value)``: every cell of every grid, missing ones NULL.
+def _cells() -> Column:
+    """(pos, value) of the cells that a json-stat body lists, from a map or a list."""
+    raw = F.col("p_value")
+    keyed = F.transform(
+        F.map_entries(F.from_json(raw, "map<string, double>")),
+        lambda e: F.struct(e["key"].cast("long").alias("pos"), e["value"].alias("value")),
+    )
+    listed = F.transform(
+        F.from_json(raw, "array<double>"), lambda v, k: F.struct(k.cast("long").alias("pos"), v.alias("value"))
+    )
+    return F.when(raw.startswith("{"), keyed).otherwise(listed)
 
-    Positions are exploded and decoded before the cells are joined on, so the
-    code lists never travel through the shuffle.
+
+def _dense(opened: DataFrame) -> DataFrame:
+    """Rows of opened json-stat bodies as ``(payload_id, coords, value)``.
+
+    Each body lists its own cells and the positions it lacks, so rows need no join: nothing
+    is shuffled, and code lists stay with their row until positions are decoded.
     """
-    body = F.col("body")
-    dims = F.from_json(F.get_json_object(body, "$.dimension"), DIMENSIONS_SCHEMA)
-    parsed = (
-        payloads.select(
-            "payload_id",
-            F.from_json(F.get_json_object(body, "$.id"), "array<string>").alias("listed"),
-            F.from_json(F.get_json_object(body, "$.size"), "array<int>").alias("sizes"),
-            dims.alias("dims"),
-        )
-        .withColumn("ids", F.coalesce("listed", F.map_keys("dims")))
-        .withColumn(
-            "sizes",
-            F.when(F.size("sizes") == F.size("ids"), F.col("sizes")).otherwise(
-                F.raise_error(F.lit("payload has no consistent 'size' array"))
-            ),
-        )
-        .withColumn("codes", F.transform("ids", lambda d: _dimension_codes(F.col("dims")[d]["category"])))
+    ids, sizes, codes = _grid()
+    consistent = F.when(F.size("sizes") == F.size("ids"), F.col("sizes")).otherwise(
+        F.raise_error(F.lit("payload has no consistent 'size' array"))
     )
-    cells_total = F.aggregate("sizes", F.lit(1).cast("long"), lambda acc, s: acc * s)
+    total = F.aggregate("sizes", F.lit(1).cast("long"), lambda acc, s: acc * s)
 
     def stride(k: Column) -> Column:
         later = F.slice("sizes", k + 2, F.greatest(F.size("sizes") - k - 1, F.lit(0)))
         return F.aggregate(later, F.lit(1).cast("long"), lambda acc, s: acc * s)
 
-    grid = (
-        parsed.withColumn("strides", F.transform("sizes", lambda s, k: stride(k)))
-        .filter(cells_total > 0)
-        .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), cells_total - 1)))
-        .select(
-            "payload_id",
-            "pos",
-            F.map_from_arrays(
-                "ids",
-                F.transform(
-                    "codes",
-                    lambda c, k: F.get(
-                        c,
-                        F.floor(F.col("pos") / F.get("strides", k)).cast("int") % F.get("sizes", k),
-                    ),
-                ),
-            ).alias("coords"),
-        )
-    )
-    raw = F.get_json_object(body, "$.value")
-    keyed = payloads.filter(raw.startswith("{")).select(
-        "payload_id", F.explode(F.from_json(raw, "map<string, double>")).alias("key", "value")
-    )
-    listed = payloads.filter(raw.startswith("[")).select(
-        "payload_id", F.posexplode(F.from_json(raw, "array<double>")).alias("pos", "value")
-    )
-    cells = (
-        keyed.select("payload_id", F.col("key").cast("long").alias("pos"), "value")
-        .unionByName(listed.select("payload_id", F.col("pos").cast("long").alias("pos"), "value"))
-        .filter(F.col("value").isNotNull())
+    inside = F.filter("cells", lambda c: (c["pos"] >= 0) & (c["pos"] < F.col("total")) & c["value"].isNotNull())
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), F.transform("cells", lambda c: c["pos"]))
+    absent = F.transform(lacking, lambda p: F.struct(p.alias("pos"), F.lit(None).cast("double").alias("value")))
+    code = lambda c, k: F.get(c, (F.floor(F.col("cell.pos") / F.get("strides", k)) % F.get("sizes", k)).cast("int"))
+    return (
+        opened.select("payload_id", ids.alias("ids"), sizes.alias("sizes"), codes.alias("codes"), _cells().alias("cells"))
+        .withColumn("sizes", consistent)
+        .withColumns({"total": total, "strides": F.transform("sizes", lambda s, k: stride(k))})
+        .filter(F.col("total") > 0)
+        .withColumn("cells", inside)
+        .withColumn("cell", F.explode(F.concat("cells", absent)))
+        .select("payload_id", F.map_from_arrays("ids", F.transform("codes", code)).alias("coords"), "cell.value")
     )
-    return grid.join(cells, ["payload_id", "pos"], "left").select("payload_id", "coords", "value")
 
 
-def sdmx_to_long(payloads: DataFrame) -> DataFrame:
-    """``(payload_id, coords, value)`` for the cells that are present."""
-    body = F.col("body")
-    dims = F.from_json(F.get_json_object(body, "$.structure.dimensions.observation"), OBSERVED_SCHEMA)
-    cells = F.from_json(
-        F.get_json_object(body, "$.dataSets[0].observations"), "map<string, array<double>>"
-    )
+def jsonstat_to_long(payloads: DataFrame) -> DataFrame:
+    """``(payload_id, coords, value)``: every cell of every grid, missing ones NULL."""
+    return _dense(_opened(payloads))
+
+
+def _sparse(opened: DataFrame) -> DataFrame:
+    """Rows of opened sdmx bodies as ``(payload_id, coords, value)``."""
+    dims = F.from_json(F.get_json_object("p_structure", "$.dimensions.observation"), OBSERVED_SCHEMA)
+    cells = F.from_json(F.get_json_object("p_dataSets", "$[0].observations"), "map<string, array<double>>")
     return (
-        payloads.select("payload_id", dims.alias("dims"), F.explode(cells).alias("key", "cell"))
+        opened.select("payload_id", dims.alias("dims"), F.explode(cells).alias("key", "cell"))
         .withColumn("at", F.transform(F.split("key", ":"), lambda p: p.cast("int")))
         .select(
             "payload_id",
@@ -179,11 +171,16 @@ def sdmx_to_long(payloads: DataFrame) -> DataFrame:
     )
 
 
+def sdmx_to_long(payloads: DataFrame) -> DataFrame:
+    """``(payload_id, coords, value)`` for the cells that are present."""
+    return _sparse(_opened(payloads))
+
+
 def payloads_to_long(payloads: DataFrame) -> DataFrame:
     """Decode every readable payload by its own layout; see ``quarantined`` for the rest."""
-    tagged = with_format(payloads)
-    return jsonstat_to_long(tagged.filter(F.col("format") == "jsonstat")).unionByName(
-        sdmx_to_long(tagged.filter(F.col("format") == "sdmx"))
+    tagged = _tagged(_opened(payloads))
+    return _dense(tagged.filter(F.col("format") == "jsonstat")).unionByName(
+        _sparse(tagged.filter(F.col("format") == "sdmx"))
     )
 
 

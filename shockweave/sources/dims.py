@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,32 +14,30 @@ def read_dimension(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
-def _names(dim: DataFrame, code: str, name: str) -> DataFrame:
-    # Smallest name wins where a code has several, so reruns agree.
-    return (
-        dim.filter(is_filled(code))
-        .select(prefixed_code(code).alias("sector"), F.trim(F.col(name)).alias("sector_name"))
-        .groupBy("sector")
-        .agg(F.min("sector_name").alias("sector_name"))
-    )
+#: Columns of code and name, the more detailed classification first.
+CODE_LEVELS = (("estat_s63g_code", "estat_s63g_des"), ("estat_s11g_code", "estat_s11g_des"))
 
 
 def sector_decoder(
-    dim: DataFrame,
-    wanted: DataFrame | None = None,
-    detailed: tuple[str, str] = ("estat_s63g_code", "estat_s63g_des"),
-    broad: tuple[str, str] = ("estat_s11g_code", "estat_s11g_des"),
+    dim: DataFrame, wanted: DataFrame | None = None, levels: Sequence[tuple[str, str]] = CODE_LEVELS
 ) -> DataFrame:
-    """``(sector, sector_name)``: the detailed code's name, else the broad code's.
+    """``(sector, sector_name)``: of the first level that has the code, the smallest name.
 
-    ``wanted`` limits the result to the sectors of a run (column ``sector``).
+    The dimension is read once: every row offers a name per level, and the least (level,
+    name) of a sector wins, so reruns agree. ``wanted`` limits the result to the sectors of
+    a run (column ``sector``).
     """
-    preferred = _names(dim, *detailed)
-    fallback = _names(dim, *broad).join(preferred, "sector", "left_anti")
-    decoder = preferred.unionByName(fallback)
+    offers = F.array(
+        *[
+            F.when(is_filled(code), F.struct(prefixed_code(code).alias("sector"), F.lit(k).alias("level"), F.trim(F.col(name)).alias("name")))
+            for k, (code, name) in enumerate(levels)
+        ]
+    )
+    offered = dim.select(F.explode(offers).alias("o")).filter(F.col("o").isNotNull()).select("o.*")
     if wanted is not None:
-        decoder = decoder.join(wanted.select("sector").distinct(), "sector", "left_semi")
-    return decoder
+        offered = offered.join(wanted.select("sector").distinct(), "sector", "left_semi")
+    best = F.min(F.struct("level", F.col("name").isNull().alias("unnamed"), "name"))
+    return offered.groupBy("sector").agg(best.alias("best")).select("sector", F.col("best.name").alias("sector_name"))
 
 
 def iso_dimension(spark: SparkSession) -> DataFrame:

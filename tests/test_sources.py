@@ -184,3 +184,19 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
         storage.cut(spark.range(3))
         kept = storage.cut(spark.range(4), keep=True)
     assert kept.count() == 4 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_large_grid_in_one_body(spark):
+    n = 60_000  # cells, every third absent
+    body = '{"id": ["geo", "time"], "size": [2, %d], "dimension": {"geo": {"category": {"index": ["A", "B"]}}, ' % (n // 2)
+    body += '"time": {"category": {"index": [%s]}}}, "value": {%s}}' % (
+        ",".join(f'"{t}"' for t in range(n // 2)), ",".join(f'"{k}": {k}.5' for k in range(n) if k % 3)
+    )
+    long = cube.jsonstat_to_long(spark.createDataFrame([("big", body)], "payload_id string, body string"))
+    assert "Exchange" not in long._jdf.queryExecution().executedPlan().toString()
+    row = long.selectExpr(
+        "count(*) n", "count(value) c", "sum(value) s",
+        f"count_if(value <> if(coords['geo'] = 'B', {n // 2}, 0) + cast(coords['time'] as int) + 0.5) wrong",
+    ).first()
+    present = [k + 0.5 for k in range(n) if k % 3]
+    assert (row["n"], row["c"], row["s"], row["wrong"]) == (n, len(present), sum(present), 0)

@@ -84,9 +84,12 @@ def ranked(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 def numbered(accounts: DataFrame) -> DataFrame:
     """Adds ``node``, ``label`` and ``globsec``: places in the orders of (country, sector) and of sectors.
 
+    Only the list of sectors, the codes of a classification, is ranked as a whole.
     ``accounts`` is read twice and should be a written table.
     """
-    sectors = ranked(accounts.select("sector").distinct(), ["sector"], "globsec")
+    sectors = accounts.select("sector").distinct().select(
+        "sector", (F.row_number().over(W.orderBy("sector")) - 1).alias("globsec")
+    )
     return (
         ranked(accounts, ["country", "sector"], "node")
         .join(sectors, "sector")

@@ -152,7 +152,7 @@ def _ctes() -> list[tuple[str, str]]:
         FROM (SELECT DISTINCT concat(p_type, '_', p_brand) AS pair FROM part)""")
     add("detail_flow", f"""
         SELECT l.c_orig, concat('P_', l.ptype, '_', l.brand) AS ind_ava, l.c_dest,
-               CASE WHEN starts_with(l.ind_use, 'P_') THEN coalesce(concat('P_', p.pair), l.ind_use) ELSE l.ind_use END AS ind_use,
+               CASE WHEN starts_with(l.ind_use, 'P_') THEN coalesce('P_' || p.pair, l.ind_use) ELSE l.ind_use END AS ind_use,
                l.net_price AS value
         FROM fx_lines l LEFT JOIN pairs p ON p.k = l.custkey % 150 WHERE l.time_period = (SELECT max(time_period) FROM fx_lines)""")
     add("detail_sums", """

@@ -82,6 +82,14 @@ def flat_shocks(scalars: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def whole_vectors(hits: DataFrame, scenarios: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(scenario_id, node, label, sd, sp)`` of every scenario on every node, 0 where ``hits`` has no row."""
+    every = scenarios.select("scenario_id").distinct().crossJoin(nodes.select("node", "label"))
+    return every.join(hits.select("scenario_id", "node", "sd", "sp"), ["scenario_id", "node"], "left").select(
+        "scenario_id", "node", "label", zero_if_null("sd").alias("sd"), zero_if_null("sp").alias("sp")
+    )
+
+
 def scenario_grid(
     countries: DataFrame, hazards: Sequence[str], levels: Sequence[str] = tuple(INTENSITY_LEVELS)
 ) -> DataFrame:

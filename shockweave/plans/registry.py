@@ -397,7 +397,8 @@ def sector_catalog(spark, sf_dir):
 @query
 def targeted_shocks(spark, sf_dir):
     nodes = network.node_table(_newest(spark, sf_dir))
-    vectors = shocks.targeted_shocks(fx.scenarios(spark, fx.TARGETS), nodes)
+    scenarios = fx.scenarios(spark, fx.TARGETS)
+    vectors = shocks.whole_vectors(shocks.targeted_shocks(scenarios, nodes), scenarios, nodes)
     return vectors.select("scenario_id", "label", rate("sd"), rate("sp"))
 
 

@@ -317,6 +317,19 @@ def test_shocks_list_hits_only(spark, net):
     assert shocks.flat_shocks(flat, net.nodes).count() == len(SECTORS)
 
 
+def test_whole_vectors_have_every_node(spark, net):
+    rows = [("a", ["BB"], ["P_1"], None, None, None, None, 10.0, 0.0), ("d", None, None, None, None, None, None, 0.0, 0.0)]
+    scenarios = spark.createDataFrame(rows, shocks.SCENARIO_SCHEMA)
+    got = shocks.whole_vectors(shocks.targeted_shocks(scenarios, net.nodes), scenarios, net.nodes).collect()
+    assert sorted((r["scenario_id"], r["label"], r["sd"], r["sp"]) for r in got) == sorted(
+        (s, label, 0.0, 0.1 if (s, label) == ("a", "BB::P_1") else 0.0) for s in ("a", "d") for label in LABELS
+    )
+    flat = spark.createDataFrame([("x", "AA", 0.2), ("y", "BB", 0.0), ("z", "??", 0.3)], "scenario_id string, ISO2 string, scalar double")
+    got = shocks.whole_vectors(shocks.flat_shocks(flat, net.nodes), flat, net.nodes).collect()
+    assert len(got) == 3 * N and {r["label"] for r in got if r["sp"] == 0.2} == {f"AA::{s}" for s in SECTORS}
+    assert sum(r["sp"] > 0 for r in got) == len(SECTORS)
+
+
 def test_pairs_of_a_hot_sector_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(propagate, "PAIRS_PER_TASK", 10)
     holders = [("s", 0, i, 0.05, 0.5) for i in range(20)] + [("s", 1, 100, 1.0, 0.5)]

@@ -583,8 +583,9 @@ def _finals() -> dict[str, str]:
               WHEN 'T2' THEN CASE WHEN n.country = 'NATION_3' AND n.sector = 'P_LARGE' THEN 0.125 ELSE 0.0 END
               WHEN 'T3' THEN CASE WHEN n.country IN ('NATION_1', 'NATION_2') THEN 0.3 ELSE 0.0 END ELSE 0.0 END::DOUBLE''', 8, 'sp')}
         FROM ids n CROSS JOIN (VALUES ('T0'), ('T1'), ('T2'), ('T3'), ('T4')) AS t(scenario_id)"""
-    q["flat_shocks"] = f"""SELECT g.scenario_id, n.label, CAST(0.0 AS DOUBLE) AS sd, {rate('g.scalar', 10, 'sp')}
-        FROM scalars g JOIN ids n ON n.country = g.ISO2 WHERE g.scalar > 0"""
+    q["flat_shocks"] = f"""SELECT g.scenario_id, n.label, CAST(0.0 AS DOUBLE) AS sd,
+        {rate('CASE WHEN n.country = g.ISO2 THEN g.scalar ELSE 0.0 END', 10, 'sp')}
+        FROM scalars g CROSS JOIN ids n"""
     q["initial_state"] = _select([s, lab, money("cap"), money("fd"), money("xdem")], "state")
     q["rationing"] = _select([s, lab, rate("r")], "rationed")
     q["bottleneck"] = _select([s, lab, rate("s"), rate("row_factor")], "factored")

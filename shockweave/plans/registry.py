@@ -405,7 +405,8 @@ def targeted_shocks(spark, sf_dir):
 @query
 def flat_shocks(spark, sf_dir):
     nodes = network.node_table(cut(flows.compact_flows(_newest(spark, sf_dir))))
-    vectors = shocks.flat_shocks(cut(_scalars(spark, sf_dir)), nodes)
+    scalars = cut(_scalars(spark, sf_dir))
+    vectors = shocks.whole_vectors(shocks.flat_shocks(scalars, nodes), scalars, nodes)
     return vectors.select("scenario_id", "label", rate("sd"), rate("sp", 10))
 
 

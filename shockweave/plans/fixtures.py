@@ -72,7 +72,9 @@ def _user_account() -> Column:
 def flow_lines(spark: SparkSession, sf_dir: str, period: int | None = None) -> DataFrame:
     """One row per order line: who sold what to whom, and its amounts.
 
-    A period becomes a date range on orders, which reaches the scan.
+    A period becomes a date range on orders, which reaches the scan. Orders meet their
+    customers before the lines, of which there are many more. Customers and suppliers are joined
+    as read, so that Spark sees their size, and nations after them.
     """
     orders = table(spark, sf_dir, "orders")
     if period is not None:
@@ -80,24 +82,24 @@ def flow_lines(spark: SparkSession, sf_dir: str, period: int | None = None) -> D
             (F.col("o_orderdate") >= F.lit(f"{period}-01-01").cast("timestamp_ntz"))
             & (F.col("o_orderdate") < F.lit(f"{period + 1}-01-01").cast("timestamp_ntz"))
         )
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customers = (
-        table(spark, sf_dir, "customer")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_name").alias("c_dest"), F.col("n_nationkey").alias("dest_key"), _user_account().alias("ind_use"))
-    )
-    suppliers = (
-        table(spark, sf_dir, "supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("c_orig"))
+    nations = table(spark, sf_dir, "nation")
+    buyers = nations.select(F.col("n_nationkey").alias("dest_key"), F.col("n_name").alias("c_dest"))
+    sellers = nations.select(F.col("n_nationkey").alias("orig_key"), F.col("n_name").alias("c_orig"))
+    bought = (
+        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(buyers, F.col("c_nationkey") == F.col("dest_key"))
+        .select(
+            "o_orderkey", "o_orderdate", "o_orderpriority", "c_dest", "dest_key",
+            F.col("c_custkey").alias("custkey"), _user_account().alias("ind_use"),
+        )
     )
     price = F.col("l_extendedprice")
     return (
         table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(sellers, F.col("s_nationkey") == F.col("orig_key"))
         .select(
             F.year("o_orderdate").cast("int").alias("time_period"),
             "c_orig",
@@ -105,7 +107,7 @@ def flow_lines(spark: SparkSession, sf_dir: str, period: int | None = None) -> D
             F.col("p_brand").alias("brand"),
             "c_dest",
             "dest_key",
-            F.col("c_custkey").alias("custkey"),
+            "custkey",
             "ind_use",
             F.col("o_orderpriority").alias("priority"),
             F.col("l_returnflag").alias("returnflag"),
@@ -138,6 +140,11 @@ def flow_table(spark: SparkSession, sf_dir: str, period: int | None = None) -> D
     return _flows_of(lines, F.concat(F.lit("P_"), F.col("ptype")), F.col("ind_use"))
 
 
+def newest_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row with the year of the last order; no flow is newer."""
+    return table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate")).cast("int").alias("time_period"))
+
+
 def detailed_flow_table(spark: SparkSession, sf_dir: str, period: int | None = None) -> DataFrame:
     """As ``flow_table`` with sector = type x brand on both sides: up to 3,750 nodes."""
     lines = flow_lines(spark, sf_dir, period)

@@ -64,7 +64,7 @@ def rate(c: str, digits: int = 8) -> Column:
 
 
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.latest_period(fx.flow_table(spark, sf_dir))
+    return flows.latest_period(fx.flow_table(spark, sf_dir), at_most=fx.newest_year(spark, sf_dir))
 
 
 def _network(spark: SparkSession, sf_dir: str) -> network.Network:
@@ -115,7 +115,8 @@ def final_demand_output(spark, sf_dir):
 @query
 def detailed_network_output(spark, sf_dir):
     """Accounts of the larger network, whose sectors are type x brand."""
-    nodes = network.build_network(flows.latest_period(fx.detailed_flow_table(spark, sf_dir))).nodes
+    newest = flows.latest_period(fx.detailed_flow_table(spark, sf_dir), at_most=fx.newest_year(spark, sf_dir))
+    nodes = network.build_network(newest).nodes
     return nodes.select("node", "label", "globsec", plain("fd"), plain("z_row"), plain("z_col"), plain("x"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import nan_to_null
+from shockweave.storage import cut
 
 FLOW_KEYS = ("c_orig", "ind_ava", "c_dest", "ind_use")
 
@@ -17,12 +18,18 @@ def read_flows(spark: SparkSession, table: str | None = None, path: str | None =
     return spark.table(table) if table is not None else spark.read.parquet(path)
 
 
-def latest_period(flows: DataFrame, period: str = "time_period") -> DataFrame:
+def latest_period(flows: DataFrame, period: str = "time_period", at_most: DataFrame | None = None) -> DataFrame:
     """Rows of the newest period.
 
     The maximum is a scalar subquery, so nothing is collected and, on a table
-    partitioned by period, it prunes partitions before the scan.
+    partitioned by period, it prunes partitions before the scan. Flows that are costly to
+    make come with ``at_most``, a row with the newest period they can have: if there are
+    flows of it, they are the result, made and written once without those of other periods.
     """
+    if at_most is not None:
+        found = cut(flows.filter(F.col(period) == at_most.scalar()))
+        if not found.isEmpty():
+            return found
     newest = flows.agg(F.max(period)).scalar()
     return flows.filter(F.col(period) == newest)
 

@@ -3,6 +3,8 @@ import json
 import pytest
 
 from shockweave.operators import calibrate
+from pyspark.sql import functions as F
+
 from shockweave import storage
 from shockweave.sources import bundle, cube, flows, losses, sinks
 
@@ -200,3 +202,25 @@ def test_a_large_grid_in_one_body(spark):
     ).first()
     present = [k + 0.5 for k in range(n) if k % 3]
     assert (row["n"], row["c"], row["s"], row["wrong"]) == (n, len(present), sum(present), 0)
+
+
+def test_newest_period_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def touch(year: int) -> int:
+        made.add(1)
+        return year
+
+    rows = [(2000, "A", 1.0), (2001, "A", 2.0), (2001, "B", 3.0), (None, "C", 4.0)]
+    source = spark.createDataFrame(rows, "year int, c string, value double")
+    table = source.withColumn("time_period", F.udf(touch, "int")("year")).drop("year")
+    year = lambda y: spark.createDataFrame([(y,)], "y int")
+    newest = flows.latest_period(table, at_most=year(2001))
+    seen = made.value
+    for _ in range(2):  # read from what was written
+        assert sorted((r["time_period"], r["c"]) for r in newest.collect()) == [(2001, "A"), (2001, "B")]
+    assert made.value == seen
+    # A bound that no flow reaches, or none at all, leaves the maximum to the flows themselves.
+    for bound in (year(2005), year(None)):
+        assert sorted(r["value"] for r in flows.latest_period(table, at_most=bound).collect()) == [2.0, 3.0]
+    assert flows.latest_period(table.limit(0), at_most=year(None)).collect() == []

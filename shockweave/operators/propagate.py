@@ -109,7 +109,7 @@ def edge_flows(net: Network, factored: DataFrame) -> DataFrame:
     short = F.when(derived, F.col("z") * (change - F.col("row_factor"))).otherwise(F.col("a") * F.col("xdem") - con)
     return (
         net.edges.join(producers, ["block", "i"])
-        .join(users, ["scenario_id", "block", "j"])
+        .join(users.hint("shuffle_hash"), ["scenario_id", "block", "j"])  # the pairs of edges and scenarios are not sorted
         .select(
             "scenario_id", "i", "j", "globsec", "z", "t",
             con.alias("con"), need.alias("need"), F.least(con, need).alias("base"), floor_zero(short).alias("unmet"),

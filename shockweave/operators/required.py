@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import zero_if_null
-from shockweave.operators.network import Network, joined_by_block
+from shockweave.operators.network import Network, joined_by_block, shuffled_joins
 from shockweave.storage import cut
 
 CHUNK = 6
@@ -125,11 +125,13 @@ def total_requirements(net: Network, tol: float = 1e-18, most: int = 24) -> Data
         left = power.select(F.col("i").alias("_i"), F.col("j").alias("i"), F.col("v").alias("_v"))
         parts = left.join(right, "i").select("summed", F.col("_i").alias("i"), "j", (F.col("_v") * F.col("v")).alias("v"))
         seen = Observation()
-        both = cut(
-            parts.unionByName(total.withColumn("summed", F.lit(True)))
-            .groupBy("summed", "i", "j").agg(F.sum("v").alias("v")),
-            False, seen, F.max(F.when(~F.col("summed"), F.abs("v")).otherwise(zero)).alias("largest"),
-        )
+        # Few rows make many, so the join is dealt to all tasks instead of by the size of its inputs.
+        with joined_by_block(power.sparkSession), shuffled_joins(power.sparkSession):
+            both = cut(
+                parts.unionByName(total.withColumn("summed", F.lit(True)))
+                .groupBy("summed", "i", "j").agg(F.sum("v").alias("v")),
+                False, seen, F.max(F.when(~F.col("summed"), F.abs("v")).otherwise(zero)).alias("largest"),
+            )
         power, total = (both.filter(c).drop("summed") for c in (~F.col("summed"), F.col("summed")))
         if largest(seen) < tol:
             return total

@@ -567,8 +567,10 @@ def _settled(spark, sf_dir) -> dict[str, DataFrame]:
 
     def compute() -> dict[str, DataFrame]:
         result = _run(spark, sf_dir, **SETTLED, return_history=True)
+        with network.shuffled_joins(spark):
+            edges = cut(result.edges())
         return {
-            "nodes": result.network.nodes, "state": result.nodes, "flows": result.edges(),
+            "nodes": result.network.nodes, "state": result.nodes, "flows": edges,
             "gaps": result.gaps, "history": result.history,
         }
 
@@ -765,16 +767,18 @@ def links_combined(spark, sf_dir):
 def result_bundle(spark, sf_dir):
     """All tables of a settled run published together, read back by the manifest: rows and sums of each."""
     run = _settled(spark, sf_dir)
-    tables = suite.tables_of(
-        run["state"], run["nodes"], run["flows"], dims.sector_decoder(fx.code_dimension(spark, sf_dir)),
-        fx.country_dimension(spark, sf_dir), employment_per_output=run["nodes"].select("node", "sector").join(
-            fx.employment_intensity(spark, sf_dir), "sector"), min_abs_delta=MOVED["A"],
-    )
+    with network.shuffled_joins(spark):
+        tables = suite.tables_of(
+            run["state"], run["nodes"], run["flows"], dims.sector_decoder(fx.code_dimension(spark, sf_dir)),
+            fx.country_dimension(spark, sf_dir), employment_per_output=run["nodes"].select("node", "sector").join(
+                fx.employment_intensity(spark, sf_dir), "sector"), min_abs_delta=MOVED["A"],
+        )
     # Of the ranked links those that moved to their side; the others are ties at 0.
     tables["links_weakened"] = tables["links_weakened"].filter("delta < 0")
     tables["links_strengthened"] = tables["links_strengthened"].filter("delta > 0")
     folder = fresh_path(spark, "bundle")
-    bundle.publish(tables, folder)
+    with network.shuffled_joins(spark):
+        bundle.publish(tables, folder)
     measure = {"totals": "X_loss_abs_total"} | {n: "delta" for n in tables if n.startswith("links")}
     parts = [
         df.groupBy("scenario_id").agg(F.count("*").cast("int").alias("n_rows"), F.sum(measure.get(name, "loss_abs")).alias("m"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shockweave.operators import propagate, required
-from shockweave.operators.network import Network, joined_by_block
+from shockweave.operators.network import Network, joined_by_block, shuffled_joins
 from shockweave.storage import cut, scratch
 
 
@@ -71,7 +71,7 @@ def run(
     """
     check_controls(gamma, max_iter, tol)
     inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
-    with scratch():
+    with scratch(), shuffled_joins(network.nodes.sparkSession):
         finished, gaps, seen = _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements)
         union = lambda parts: reduce(DataFrame.unionByName, parts)
         return StressResult(

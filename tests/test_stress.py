@@ -317,6 +317,14 @@ def test_shocks_list_hits_only(spark, net):
     assert shocks.flat_shocks(flat, net.nodes).count() == len(SECTORS)
 
 
+def test_joins_of_a_run_pass_the_driver_by(spark, net, monkeypatch):
+    key, step, seen = "spark.sql.autoBroadcastJoinThreshold", propagate.step, []
+    monkeypatch.setattr(propagate, "step", lambda *a: seen.append(spark.conf.get(key)) or step(*a))
+    before, scenarios = spark.conf.get(key), spark.createDataFrame(SCENARIOS[:2], shocks.SCENARIO_SCHEMA)
+    stress.run(net, shocks.targeted_shocks(scenarios, net.nodes), max_iter=1, inner_rounds=1, scenarios=scenarios)
+    assert seen == ["-1"] and spark.conf.get(key) == before
+
+
 def test_whole_vectors_have_every_node(spark, net):
     rows = [("a", ["BB"], ["P_1"], None, None, None, None, 10.0, 0.0), ("d", None, None, None, None, None, None, 0.0, 0.0)]
     scenarios = spark.createDataFrame(rows, shocks.SCENARIO_SCHEMA)

@@ -325,6 +325,11 @@ def test_joins_of_a_run_pass_the_driver_by(spark, net, monkeypatch):
     assert seen == ["-1"] and spark.conf.get(key) == before
 
 
+def test_few_edges_fill_many_tasks(net):
+    grid = in_grid(net, 4)
+    assert "out of 16" in grid.edges.groupBy("block").count()._jdf.queryExecution().toString()
+
+
 def test_whole_vectors_have_every_node(spark, net):
     rows = [("a", ["BB"], ["P_1"], None, None, None, None, 10.0, 0.0), ("d", None, None, None, None, None, None, 0.0, 0.0)]
     scenarios = spark.createDataFrame(rows, shocks.SCENARIO_SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import floor_zero, ratio, zero_if_null
-from shockweave.operators.network import Network, joined_by_block
+from shockweave.operators.network import Network, hashed, joined_by_block
 from shockweave.operators.shocks import per_node
 from shockweave.storage import cut
 
@@ -85,7 +85,7 @@ def with_factors(rationed: DataFrame, bottleneck: DataFrame) -> DataFrame:
     row_factor * z_row``; it is what constraints leave of intermediate sales
     and of final demand, so no edge is read for it.
     """
-    factored = rationed.join(bottleneck, ["scenario_id", "node"], "left").withColumn(
+    factored = rationed.join(hashed(bottleneck), ["scenario_id", "node"], "left").withColumn(
         "s", F.coalesce("s", F.lit(1.0))
     )
     factored = factored.withColumn("row_factor", F.least(F.col("s"), 1 - F.col("sp")))
@@ -101,15 +101,16 @@ def edge_flows(net: Network, factored: DataFrame) -> DataFrame:
     change of the user's output.
     """
     producers = net.for_producers(factored.select("scenario_id", "node", "row_factor"))
-    users = net.for_users(factored.select("scenario_id", "node", "xdem", "x0"))
+    users = net.for_users(factored.select("scenario_id", "node", "xdem", "x0", F.try_divide("xdem", "x0").alias("change")))
     derived = (F.col("a") == F.col("t")) & (F.col("x0") != 0)
-    change = F.try_divide("xdem", "x0")
+    change = F.col("change")
     con = F.col("z") * F.col("row_factor")
     need = F.when(derived, F.col("z") * change).otherwise(F.col("a") * F.col("xdem"))
     short = F.when(derived, F.col("z") * (change - F.col("row_factor"))).otherwise(F.col("a") * F.col("xdem") - con)
     return (
-        net.edges.join(producers, ["block", "i"])
-        .join(users.hint("shuffle_hash"), ["scenario_id", "block", "j"])  # the pairs of edges and scenarios are not sorted
+        # Producers stream past their edges, so what a producer sells in a scenario is added up in one go.
+        producers.join(net.edges, ["block", "i"])
+        .join(hashed(users), ["scenario_id", "block", "j"])  # the pairs of edges and scenarios are not sorted
         .select(
             "scenario_id", "i", "j", "globsec", "z", "t",
             con.alias("con"), need.alias("need"), F.least(con, need).alias("base"), floor_zero(short).alias("unmet"),
@@ -124,24 +125,14 @@ def edge_sums(flows: DataFrame) -> DataFrame:
     technology. Every edge contributes to both sums, so one pass over edges
     and scenarios, with partial sums before the shuffle, serves both.
     """
-    nowhere = F.lit(None).cast("int")
-    zero = F.lit(0.0)
-    parts = F.array(
-        F.struct(nowhere.alias("globsec"), F.col("i").alias("node"), F.col("base"), zero.alias("unmet"), zero.alias("t")),
-        F.struct(F.col("globsec"), F.col("j").alias("node"), F.col("base"), F.col("unmet"), F.col("t")),
-    )
+    sides = [["scenario_id", "i"], ["scenario_id", "globsec", "j"]]
     return (
-        flows.select("scenario_id", F.explode(parts).alias("p"))
-        .groupBy("scenario_id", "p.globsec", "p.node")
-        .agg(F.sum("p.base").alias("base"), F.sum("p.unmet").alias("unmet"), F.sum("p.t").alias("ag"))
+        flows.groupingSets(sides, "scenario_id", "globsec", "i", "j")
+        .agg(F.sum("base").alias("base"), F.sum("unmet").alias("unmet"), F.sum("t").alias("ag"))
+        .select("scenario_id", "globsec", F.coalesce("i", "j").alias("node"), "base", "unmet", "ag")
     )
 
 
-def sales_by_producer(sums: DataFrame) -> DataFrame:
-    """``(scenario_id, node, base_row)``: base sales over all users."""
-    return sums.filter(F.col("globsec").isNull()).select("scenario_id", "node", F.col("base").alias("base_row"))
-
-
 def inputs_by_sector(sums: DataFrame) -> DataFrame:
     """``(scenario_id, globsec, node, base, unmet, ag)`` per sector and user."""
     return sums.filter(F.col("globsec").isNotNull())
@@ -153,45 +144,47 @@ def sector_balance(factored: DataFrame, inputs: DataFrame, gamma: float) -> Data
     ``sub`` is how much of the unmet need the sector's inventory covers, at
     most 1; ``frac = gamma * sub`` is the part that is delivered.
     """
-    inventory = factored.groupBy("scenario_id", "globsec").agg(F.sum("inv").alias("inv_total"))
-    unmet = inputs.groupBy("scenario_id", "globsec").agg(F.sum("unmet").alias("unmet_total"))
+    sector, zero = ["scenario_id", "globsec"], F.lit(0.0)
+    both = factored.select(*sector, "inv", zero.alias("unmet")).unionByName(inputs.select(*sector, zero.alias("inv"), "unmet"))
     sub = F.least(F.lit(1.0), ratio("inv_total", "unmet_total"))
     return (
-        inventory.join(unmet, ["scenario_id", "globsec"], "left")
-        .withColumn("unmet_total", zero_if_null("unmet_total"))
+        both.groupBy(*sector)
+        .agg(F.sum("inv").alias("inv_total"), F.sum("unmet").alias("unmet_total"))
         .withColumn("sub", sub)
         .withColumn("frac", F.lit(float(gamma)) * F.col("sub"))
     )
 
 
-def sector_supply(inputs: DataFrame, balance: DataFrame) -> DataFrame:
-    """Per sector and user: ``delivered = frac * unmet`` and the new inflow ``zg``."""
-    return inputs.join(
-        balance.select("scenario_id", "globsec", "frac"), ["scenario_id", "globsec"]
-    ).select(
+def sector_supply(sums: DataFrame, balance: DataFrame) -> DataFrame:
+    """Per sector and user: ``delivered = frac * unmet`` and the new inflow ``zg``.
+
+    Sales of producers (``globsec`` NULL) pass with neither; ``sold`` holds them.
+    """
+    return sums.join(hashed(balance.select("scenario_id", "globsec", "frac")), ["scenario_id", "globsec"], "left").select(
         "scenario_id",
         "globsec",
         "node",
         "ag",
         (F.col("frac") * F.col("unmet")).alias("delivered"),
         (F.col("base") + F.col("frac") * F.col("unmet")).alias("zg"),
+        F.when(F.col("globsec").isNull(), F.col("base")).alias("sold"),
     )
 
 
 def global_feasibility(supply: DataFrame) -> DataFrame:
-    """``(scenario_id, node, xg, z_col)``: output the scarcest sector allows, and all inputs."""
+    """``(scenario_id, node, xg, z_col, base_row)``: output the scarcest sector allows, all inputs, base sales over all users."""
     allowed = F.when(F.col("ag") > 0, F.try_divide("zg", "ag"))
     return supply.groupBy("scenario_id", "node").agg(
-        F.min(allowed).alias("xg"), F.sum("zg").alias("z_col")
+        F.min(allowed).alias("xg"), F.sum("zg").alias("z_col"), F.sum("sold").alias("base_row")
     )
 
 
-def with_reallocation(factored: DataFrame, sales: DataFrame, balance: DataFrame) -> DataFrame:
-    """Adds the inventory share, intermediate sales ``z_new_row`` and local supply ``xl``."""
+def with_reallocation(factored: DataFrame, feasibility: DataFrame, balance: DataFrame) -> DataFrame:
+    """Adds the inventory share, intermediate sales ``z_new_row``, local supply ``xl`` and what feasibility holds."""
     share = ratio("inv", "inv_total")
     return (
-        factored.join(balance, ["scenario_id", "globsec"])
-        .join(sales, ["scenario_id", "node"], "left")
+        factored.join(hashed(balance), ["scenario_id", "globsec"])
+        .join(hashed(feasibility), ["scenario_id", "node"], "left")
         .withColumn("inv_share", share)
         .withColumn(
             "z_new_row",
@@ -201,11 +194,10 @@ def with_reallocation(factored: DataFrame, sales: DataFrame, balance: DataFrame)
     )
 
 
-def with_feasible_output(reallocated: DataFrame, feasibility: DataFrame) -> DataFrame:
+def with_feasible_output(reallocated: DataFrame) -> DataFrame:
     """Adds ``xs``, implied demand ``fd_implied`` and the next demand ``fd_next``."""
     return (
-        reallocated.join(feasibility, ["scenario_id", "node"], "left")
-        .withColumn("xg", F.coalesce("xg", "xl"))
+        reallocated.withColumn("xg", F.coalesce("xg", "xl"))
         .withColumn("z_col", zero_if_null("z_col"))
         .withColumn("xs", F.least("xl", "xg"))
         .withColumn("fd_implied", floor_zero(F.col("xs") - F.col("z_new_row")))
@@ -230,12 +222,8 @@ def step(net: Network, state: DataFrame, gamma: float) -> DataFrame:
     with joined_by_block(state.sparkSession):
         factored = cut(factored_state(net, state))
         sums = cut(edge_sums(edge_flows(net, factored)))
-    inputs = inputs_by_sector(sums)
-    balance = sector_balance(factored, inputs, gamma)
-    return with_feasible_output(
-        with_reallocation(factored, sales_by_producer(sums), balance),
-        global_feasibility(sector_supply(inputs, balance)),
-    )
+    balance = sector_balance(factored, inputs_by_sector(sums), gamma)
+    return with_feasible_output(with_reallocation(factored, global_feasibility(sector_supply(sums, balance)), balance))
 
 
 def step_totals(flows: DataFrame, stepped: DataFrame) -> DataFrame:

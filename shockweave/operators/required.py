@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shockweave.functions.numeric import zero_if_null
-from shockweave.operators.network import Network, joined_by_block, shuffled_joins
+from shockweave.operators.network import Network, hashed, joined_by_block, shuffled_joins
 from shockweave.storage import cut
 
 CHUNK = 6
@@ -142,7 +142,7 @@ def required_output(requirements: DataFrame, demand: DataFrame) -> DataFrame:
     """``(scenario_id, node, v)`` from ``(scenario_id, node, v)`` of final demand."""
     users = demand.select("scenario_id", F.col("node").alias("j"), F.col("v").alias("_fd"))
     return (
-        requirements.join(users, "j")
+        users.join(hashed(requirements), "j")
         .groupBy("scenario_id", F.col("i").alias("node"))
         .agg(F.sum(F.col("v") * F.col("_fd")).alias("v"))
     )
@@ -152,7 +152,7 @@ def add_to_guess(state: DataFrame, correction: DataFrame) -> DataFrame:
     """State with the correction added to ``xdem``."""
     fix = correction.select("scenario_id", "node", F.col("v").alias("_fix"))
     return (
-        state.join(fix, ["scenario_id", "node"], "left")
+        state.join(hashed(fix), ["scenario_id", "node"], "left")
         .withColumn("xdem", F.col("xdem") + zero_if_null("_fix"))
         .drop("_fix")
     )

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shockweave.operators import propagate, required
-from shockweave.operators.network import Network, joined_by_block, shuffled_joins
-from shockweave.storage import cut, scratch
+from shockweave.operators.network import Network, hashed, interpreted, joined_by_block, ranked, shuffled_joins
+from shockweave.storage import cut, discard, scratch
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,24 @@ class StressResult:
 
 
 def demand_gap(stepped: DataFrame) -> DataFrame:
-    """``(scenario_id, gap)``: L1 change of demand relative to its L1 size."""
+    """``(scenario_id, name, gap)``: L1 change of demand relative to its L1 size."""
     moved = F.sum(F.abs(F.col("fd_next") - F.col("fd")))
-    return stepped.groupBy("scenario_id").agg((moved / (F.sum(F.abs("fd")) + 1e-12)).alias("gap"))
+    return stepped.groupBy("scenario_id", "name").agg((moved / (F.sum(F.abs("fd")) + 1e-12)).alias("gap"))
+
+
+def scenario_numbers(shocks: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+    """``(scenario_id, name)``: numbers from 0 and names of the scenarios of ``scenarios``, by default of ``shocks``.
+
+    A run joins and adds up by number, which makes one long with a node; the name is carried along.
+    """
+    names = (shocks if scenarios is None else scenarios).select(F.col("scenario_id").alias("name")).distinct()
+    return cut(ranked(names.filter(F.col("name").isNotNull()), ["name"], "scenario_id"))
+
+
+def named(numbered: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, by default all, of rows that carry number and name of their scenario, under its name alone."""
+    others = columns or [c for c in numbered.columns if c not in ("scenario_id", "name")]
+    return numbered.select(F.col("name").alias("scenario_id"), *others)
 
 
 def check_controls(gamma: float, max_iter: int, tol: float) -> None:
@@ -72,7 +87,8 @@ def run(
     check_controls(gamma, max_iter, tol)
     inner_tol = inner_tol if inner_tol is not None else 1e-3 * tol
     with scratch(), shuffled_joins(network.nodes.sparkSession):
-        finished, gaps, seen = _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements)
+        numbers = scenario_numbers(shocks, scenarios)
+        finished, gaps, seen = _iterations(network, shocks, numbers, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements)
         union = lambda parts: reduce(DataFrame.unionByName, parts)
         return StressResult(
             network=network,
@@ -83,12 +99,13 @@ def run(
         )
 
 
-def _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements):
+def _iterations(network, shocks, numbers, gamma, max_iter, tol, inner_tol, inner_rounds, return_history, requirements):
     """Final states of scenarios as they settle, gaps of all iterations (written to stay), history."""
     inside = F.col("sd").between(0, 1) & F.col("sp").between(0, 1)
     sizes = Observation()
+    hits = shocks.select(F.col("scenario_id").alias("name"), "node", "sd", "sp").join(numbers, "name")
     state = cut(
-        propagate.initial_state(network.nodes, shocks, scenarios).withColumn("xdem", F.col("x0")),
+        propagate.initial_state(network.nodes, hits, numbers).join(numbers, "scenario_id").withColumn("xdem", F.col("x0")),
         False, sizes,
         F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside"), F.max(F.abs("x0")).alias("largest"),
     )
@@ -104,43 +121,49 @@ def _iterations(network, shocks, scenarios, gamma, max_iter, tol, inner_tol, inn
     finished: list[DataFrame] = []
     gaps: list[DataFrame] = []
     history: list[DataFrame] = []
+    stepped = None
     for iteration in range(1, max_iter + 1):
-        if requirements is not None:
-            correction = required.required_output(requirements, change)
-        elif inner_rounds is not None:
-            correction = required.rounds(network, change, inner_rounds)
-        elif iteration == 1 and met:
-            correction = change
-        else:
-            correction = required.solve(network, change, scale, inner_tol, ratio)
-        with joined_by_block(state.sparkSession):
-            stepped = cut(propagate.step(network, required.add_to_guess(state, correction), gamma))
+        before = stepped
+        with scratch():
+            if requirements is not None:
+                correction = required.required_output(requirements, change)
+            elif inner_rounds is not None:
+                correction = required.rounds(network, change, inner_rounds)
+            elif iteration == 1 and met:
+                correction = change
+            else:
+                correction = required.solve(network, change, scale, inner_tol, ratio)
+            with joined_by_block(state.sparkSession):
+                demanded = cut(required.add_to_guess(state, correction))
+                stepped = propagate.step(network, demanded, gamma)
+                with interpreted(state.sparkSession):
+                    stepped = cut(stepped, outer=True)
+        if before is not None and not return_history:
+            discard(before)
         if return_history:
             history.append(
-                stepped.select("scenario_id", F.lit(iteration).alias("iteration"), "node", "fd", "fd_implied", "xs")
+                named(stepped.withColumn("iteration", F.lit(iteration)), "iteration", "node", "fd", "fd_implied", "xs")
             )
         settled, counts = F.col("gap") < tol, Observation()
-        with joined_by_block(state.sparkSession):
+        with joined_by_block(state.sparkSession), interpreted(state.sparkSession):
             gap = cut(
                 demand_gap(stepped).withColumn("iteration", F.lit(iteration)),
                 True, counts, F.count("*").alias("all"), F.count_if(~settled).alias("open"),
             )
-        gaps.append(gap)
+        gaps.append(named(gap))
         last = iteration == max_iter or not counts.get["open"]
         if last or counts.get["open"] < counts.get["all"]:
             leaving = gap if last else gap.filter(settled)
-            finished.append(
-                stepped.join(
-                    leaving.select("scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged")),
-                    "scenario_id",
-                )
-            )
+            ended = leaving.select("scenario_id", F.lit(iteration).alias("iterations"), settled.alias("converged"))
+            finished.append(cut(named(stepped.join(ended, "scenario_id"))))
             if last:
                 break
-            stepped = stepped.join(gap.filter(~settled).select("scenario_id"), "scenario_id", "left_semi")
-        change = stepped.select("scenario_id", "node", (F.col("fd_next") - F.col("fd")).alias("v"))
-        state = stepped.select(
-            "scenario_id", "node", "globsec", "x0", "fd0", "z_row", "sd", "sp", "cap",
+            active = stepped.join(hashed(gap.filter(~settled).select("scenario_id")), "scenario_id", "left_semi")
+        else:
+            active = stepped
+        change = active.select("scenario_id", "node", (F.col("fd_next") - F.col("fd")).alias("v"))
+        state = active.select(
+            "scenario_id", "name", "node", "globsec", "x0", "fd0", "z_row", "sd", "sp", "cap",
             F.col("fd_next").alias("fd"), "xdem",
         )
     return finished, gaps, history

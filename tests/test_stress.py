@@ -373,3 +373,45 @@ def test_tables_of_a_run_are_removed(spark, net, tmp_path, monkeypatch):
     iterations = result.gaps.select("iteration").distinct().count()
     assert len(list(tmp_path.iterdir())) == 2 + iterations  # final state, history and a gap table an iteration
     assert result.nodes.count() == 2 * N and result.history.count() > 0
+
+
+def test_iterations_keep_their_compiled_classes(spark, net, monkeypatch):
+    compiled = spark.sparkContext._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    step, seen = propagate.step, []
+    monkeypatch.setattr(propagate, "step", lambda *a: seen.append(compiled.getCount()) or step(*a))
+    scenarios = spark.createDataFrame(SCENARIOS[1:3], shocks.SCENARIO_SCHEMA)
+    stress.run(
+        net, shocks.targeted_shocks(scenarios, net.nodes), gamma=0.4, max_iter=5, tol=1e-15,
+        scenarios=scenarios, requirements=required.total_requirements(net),
+    )
+    assert len(seen) == 5 and seen[4] - seen[3] <= 10
+
+
+def test_scenarios_go_by_number_inside_a_run(spark, net, monkeypatch):
+    step, kinds = propagate.step, []
+    monkeypatch.setattr(propagate, "step", lambda n, state, g: kinds.append(dict(state.dtypes)["scenario_id"]) or step(n, state, g))
+    hits = spark.createDataFrame(
+        [("b", 0, 0.0, 0.2), ("a", 1, 0.1, 0.0), (None, 2, 0.0, 0.5), ("unlisted", 3, 0.0, 0.5)], "scenario_id string, node int, sd double, sp double"
+    )
+    listed = spark.createDataFrame([("b",), ("calm",), ("a",), (None,), ("b",)], "scenario_id string")
+    result = stress.run(net, hits, gamma=0.4, max_iter=2, tol=1e-3, inner_rounds=3, return_history=True, scenarios=listed)
+    assert kinds and set(kinds) == {"int"}
+    rows = result.nodes.collect()
+    assert {r["scenario_id"] for r in rows} == {"a", "b", "calm"} and len(rows) == 3 * N
+    assert {(r["scenario_id"], r["node"]) for r in rows if r["sd"] or r["sp"]} == {("a", 1), ("b", 0)}
+    for table in (result.gaps, result.history):
+        assert {r["scenario_id"] for r in table.select("scenario_id").distinct().collect()} == {"a", "b", "calm"}
+        assert "name" not in table.columns
+
+
+def test_sums_hold_producers_and_users(spark):
+    rows = [("s", 0, 2, 5, 10.0, 1.0, 0.1), ("s", 0, 3, 5, 20.0, 2.0, 0.2), ("s", 1, 2, 6, 5.0, 0.0, 0.3)]
+    flows_ = spark.createDataFrame(rows, "scenario_id string, i int, j int, globsec int, base double, unmet double, t double")
+    sums = propagate.edge_sums(flows_)
+    got = {(r["globsec"], r["node"]): (r["base"], r["unmet"], r["ag"]) for r in propagate.inputs_by_sector(sums).collect()}
+    assert got == {(5, 2): (10.0, 1.0, 0.1), (5, 3): (20.0, 2.0, 0.2), (6, 2): (5.0, 0.0, 0.3)}
+    assert {r["node"]: r["base"] for r in sums.filter("globsec IS NULL").collect()} == {0: 30.0, 1: 5.0}
+    balance = spark.createDataFrame([("s", 5, 0.5), ("s", 6, 1.0)], "scenario_id string, globsec int, frac double")
+    nodes = {r["node"]: r for r in propagate.global_feasibility(propagate.sector_supply(sums, balance)).collect()}
+    assert nodes[0]["base_row"] == 30.0 and nodes[0]["xg"] is None and nodes[0]["z_col"] is None
+    assert nodes[2]["z_col"] == 15.5 and nodes[2]["xg"] == pytest.approx(5.0 / 0.3) and nodes[2]["base_row"] is None
